@@ -146,8 +146,8 @@ def matches(docs: DataFrame, ids: list[str], texts: list[str], id_col: str, text
                 doc = np.searchsorted(first, at, side="right") - 1
                 order = np.argsort(doc, kind="stable")
                 test, at, doc = test[order], at[order], doc[order]
-                cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else []
-                for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+                cuts = [*np.flatnonzero(np.diff(doc, prepend=-1)).tolist(), len(doc)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     d = int(doc[a])
                     froms[d], tos[d] = _merge(at[a:b] - first[d], at[a:b] - first[d] + tests.length[test[a:b]])
                     items[d] = sorted({ids[k] for k in np.unique(tests.item[test[a:b]])})
