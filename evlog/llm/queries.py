@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlog.llm import decontaminate, language_id, near_dedup, packing, suffix_dedup, url_filter
+from evlog.llm import decontaminate, language_id, lm_scoring, near_dedup, packing, suffix_dedup, url_filter
 from evlog.llm.sparkio import table
 
 
@@ -23,6 +23,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -48,6 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_language_id": op5_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
