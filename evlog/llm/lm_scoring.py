@@ -12,7 +12,7 @@ rises, nothing else changes), and is broadcast.
 The base score uses the exact counts. The model reads a bigram's level by
 probing levels from 1 until one is missing, takes the least count of that level
 (so that a context's probabilities add up to one at most), and smooths:
-p(w | u) = (count(u, w) + MU * p1(w)) / (count(u) + MU), p1 being the add-one
+p(w | u) = LAMBDA * count(u, w) / count(u) + (1 - LAMBDA) * p1(w), p1 being the add-one
 unigram probability; the end of a text is also the context of its first token.
 
 Defined cases: null or empty text is the end token alone; with no training
@@ -38,7 +38,7 @@ BASE = 1.5
 BITS = 12
 PROBES = 5
 MAX_BYTES = 192 << 20
-MU = 50.0
+LAMBDA = 0.25
 GROUP_BYTES = 12 << 20
 BUCKET_TOKENS = 1_000_000
 END = np.uint64(0x5EED0FE4D)
@@ -261,7 +261,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
                     before = np.append(int(c[np.flatnonzero(ends)[0]]), c[:-1])
                     pair = bigrams(seq)
                     level = filt.level((pair >> shift).astype(np.int64), tb.mix64(remainder(pair, shift)))
-                    p = (least_count(level) + MU * 10**base) / (before + MU)
+                    p = LAMBDA * least_count(level) / np.maximum(before, 1) + (1 - LAMBDA) * 10**base
                     own_score = np.log10(np.minimum(p, 1.0))
                     yield pa.RecordBatch.from_arrays(
                         [part.column("id").slice(i, j - i), part.column("held_out").slice(i, j - i), pa.array(np.diff(first)), pa.array(np.add.reduceat((c > 0).astype(np.int64), first[:-1])), pa.array(np.full(j - i, n)), pa.array(np.add.reduceat(base, first[:-1])), pa.array(np.add.reduceat(own_score, first[:-1]))],
