@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlog.llm import decontaminate, language_id, license_scan, lm_scoring, near_dedup, packing, suffix_dedup, url_filter
+from evlog.llm import ann, decontaminate, html_extract, language_id, license_scan, lm_scoring, near_dedup, packing, suffix_dedup, url_filter
 from evlog.llm.sparkio import table
 
 
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
@@ -39,6 +43,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), learned).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,10 +64,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_language_id": op5_language_id,
+    "op6_ann": op6_ann,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
