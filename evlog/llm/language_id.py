@@ -122,10 +122,10 @@ class Model:
                 n = alive[step]
                 c = grid[step, :n]
                 nxt = table[state[:n] * self.width + c]
-                stuck = nxt < 0
-                if stuck.any():
-                    at = np.flatnonzero(stuck)
-                    count[at] += 1 if step else 0
+                if step:
+                    count[:n] += (nxt < 0) | (state[:n] == 0)  # at the start again: the letter before was in no sample
+                at = np.flatnonzero(nxt < 0)
+                if len(at):
                     nxt[at] = np.maximum(table[c[at]], 0)  # a letter that no sample has is a phrase of its own
                 state[:n] = nxt
             np.add.at(out[:, lang], owner, count)
