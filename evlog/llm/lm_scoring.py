@@ -115,7 +115,7 @@ def least_count(level: np.ndarray) -> np.ndarray:
 
 
 def positions(hashes: np.ndarray, level: int, size: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
-    a = tb.mix64(hashes + np.uint64(level) * np.uint64(0xA24BAED4963EE407))
+    a = tb.mix64(hashes + np.uint64(level * 0xA24BAED4963EE407 % 2**64))
     b = tb.mix64(a) | np.uint64(1)
     for _ in range(PROBES):
         yield (a >> np.uint64(8)) % size
@@ -141,7 +141,7 @@ class Filter:
         live = np.arange(len(hashes))
         level = 1
         while len(live):
-            a = tb.mix64(hashes[live] + np.uint64(level) * np.uint64(0xA24BAED4963EE407))
+            a = tb.mix64(hashes[live] + np.uint64(level * 0xA24BAED4963EE407 % 2**64))
             b = tb.mix64(a) | np.uint64(1)
             for _ in range(PROBES):
                 at = (a >> np.uint64(8)) % self.size[bucket[live]]
