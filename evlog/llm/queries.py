@@ -48,7 +48,7 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TOKENS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": license_scan.oracle_sql(),
+    "op7_decontamination": f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+i as (select item_id::varchar as item, {_WORDS} as w from benchmark),
+iw as (select distinct item, n, array_to_string(w[k:k + n - 1], ' ') as win from (select item, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as k from i where len(w) > 0)),
+sizes as (select distinct n from iw),
+dw as (select doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') as win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, sizes where len(w) >= n)),
+h as (select doc_id, n, k, item from dw join iw using (n, win)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from h) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as s from (select distinct doc_id, item from h) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join found using (doc_id)""",
+    "op9_near_dedup": f"""
+with recursive d as (select doc_id, {_TOKENS} as w from documents),
+s as (select distinct doc_id, array_to_string(w[k:k + 2], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as k from d where len(w) > 0)),
+c as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join c cx on x = cx.doc_id join c cy on y = cy.doc_id where 100 * k >= 85 * (cx.n + cy.n - k)),
+e as (select x, y from l union all select y, x from l),
+r(doc_id, m) as (select doc_id, doc_id from d union select e.y, r.m from r join e on r.doc_id = e.x)
+select r.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(m) as component_id, r.doc_id = min(m) as kept from r left join c using (doc_id) group by r.doc_id""",
 }
