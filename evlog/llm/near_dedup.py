@@ -1,26 +1,30 @@
 """MinHash near-dedup (9): bottom-k sketches of one hash function.
 
 1. Every document's set of word shingles is hashed with one function; the k
-   smallest values are its sketch. Equal sets form a class; its smallest id
-   stands for it from here on, so copies cost nothing further.
+   smallest values are its sketch (a set of at most k is its own sketch). Equal
+   sets form a class; its smallest id stands for it from here on, so copies
+   cost nothing further.
 2. Inverted lists of retained values: values are ordered rare first over the
-   whole corpus, and each sketch enters the lists of its ``k - t + 1`` rarest
-   values. Two sets at the threshold share at least t of their retained values
-   but for a chance of ``MISS``, and then share one of those lists.
-3. In each list one pivot is compared with the members that are not yet in its
-   component, so a group of m near copies costs about m comparisons. Rounds go
-   on while they shorten the work; then all pairs of list members in different
-   components are compared. No pair of a list is left out: it is compared or
-   already linked.
-4. A pair goes through the size bound, the estimate from the sketch of its
-   union, and the exact Jaccard test on both full sets.
+   whole corpus, and each sketch enters the lists of its rarest values, with the
+   place of the value in that order. Of whole sets, as many as the threshold
+   makes necessary enter; of cut ones, ``k - t + 1``, as two sets at the
+   threshold share t retained values at least but for a chance of ``MISS``.
+   A linked pair thus meets in the list of its first common value.
+3. In each list one pivot, the member with the fewest rarer values, is compared
+   with the members that are not yet in its component, so that a group of m near
+   copies costs about m comparisons. Rounds go on while they shorten the work;
+   then all pairs of list members in different components are compared. No
+   pair is left out: it is compared, already linked, or beyond a bound.
+4. A pair goes through the size bound, the positional bound, the estimate from
+   the sketch of its union, and the exact Jaccard test on both full sets.
 5. Components are found by star contraction; nothing of it is on the driver.
 
 Defined cases: null or empty text, or text without words, is an empty set,
 linked with nothing and kept; with fewer words than a shingle has, the whole
 sequence is one shingle; repeated rows are one class; rows with a null id are
 classed with equal texts but never stand for them (a class of such rows only
-has a null component). Empty tables give empty results.
+has a null component); of one id with several texts, each text is a class and
+all are one component. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,23 +35,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evlog.llm import textbytes as tb
 from evlog.llm.components import components
-from evlog.llm.sparkio import checkpointed, partitions, stored
+from evlog.llm.sparkio import checkpointed, dropped, partitions, released, stored
 
-SKETCH = 64
+SKETCH = 192
+#: Sets of at most this share of k are compared as whole sets.
+WHOLE = 0.95
 MISS = 1e-9
 #: A value in more sketches than this counts as frequent and is ordered by its count.
 FREQUENT = 16
 #: Members of a pivot that one task compares; more are dealt to several.
 SALT = 256
 #: Ids sent to all workers at most, to pick the texts of candidates; beyond it, the join shuffles.
-BROADCAST_IDS = 400_000
-PIVOT_ROUNDS = 8
+BROADCAST_IDS = 600_000
+PIVOT_ROUNDS = 5
 
 
 def least_overlap(threshold: float, k: int = SKETCH, miss: float = MISS) -> int:
@@ -78,52 +84,70 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int) -> list[np.ndarr
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int = SKETCH) -> DataFrame:
-    """Per row: id, n (set size), fp (digest of the set) and its sketch."""
+    """Per row: id, n (set size), fp (digest of the set) and its sketch (the upper halves of its k smallest hashes)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, offs in tb.slices(batch.column("text")):
                 sets = shingle_sets(raw, offs, width)
-                low = [s[:k] for s in sets]
-                flat = pa.array(np.concatenate(low) if low else np.zeros(0, np.int64))
+                low = [np.unique((s >> 32).astype(np.int32))[:k] for s in sets]
+                flat = pa.array(np.concatenate(low) if low else np.zeros(0, np.int32))
                 ends = np.cumsum([0, *map(len, low)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)],
                     ["id", "n", "fp", "sketch"],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n bigint, fp binary, sketch array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n bigint, fp binary, sketch array<int>")
 
 
 def inverted_lists(classes: DataFrame, threshold: float, k: int = SKETCH) -> DataFrame:
-    """(v, id, n): the lists with two members or more, over each sketch's rarest values."""
+    """(v, id, n, pos): the lists with two members or more, over each sketch's rarest values; pos is the value's place in its sketch."""
     share = least_overlap(threshold, k) / k
     values = classes.select("id", F.explode("sketch").alias("v"))
-    frequent = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT)
-    own = values.join(frequent, "v").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda x: x.v).alias("frequent"))  # at most k of a sketch
+    frequent = stored(values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT))
+    known = F.broadcast(frequent) if frequent.count() <= BROADCAST_IDS else frequent
+    own = values.join(known, "v").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda x: x.v).alias("frequent"))  # at most k of a sketch
     ordered = F.when(F.col("frequent").isNull(), F.col("sketch")).otherwise(F.concat(F.array_except("sketch", "frequent"), "frequent"))
     size = F.size("sketch")
-    prefix = F.slice(ordered, F.lit(1), (size - F.ceil(size * share) + 1).cast("int"))
-    lists = classes.join(own, "id", "left").select("id", "n", F.explode(prefix).alias("v"))
-    return lists.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("v"))).where("m > 1").select("v", "id", "n")
+    prefix = F.when(F.col("n") <= WHOLE * k, F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).otherwise(size - F.ceil(size * share) + 1)
+    lists = classes.join(own, "id", "left").select("id", "n", F.posexplode(F.slice(ordered, F.lit(1), F.least(size, prefix).cast("int"))).alias("pos", "v"))
+    return lists.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("v"))).where("m > 1").select("v", "id", "n", "pos")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold: tuple[int, int], width: int, k: int = SKETCH) -> DataFrame:
-    """The pairs (a, b) with den * |intersection| >= num * |union|: sketch estimate first, then the full sets."""
+def possible(threshold: tuple[int, int], k: int = SKETCH) -> Column:
+    """The size bound, and for two whole sets the positional one: what both have left from here on must be enough."""
+    num, den = threshold
+    sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    whole = F.greatest("na", "nb") <= WHOLE * k
+    return sizes & (~whole | (left * (num + den) >= (F.col("na") + F.col("nb")) * num))
+
+
+def similar(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int], k: int = SKETCH) -> DataFrame:
+    """The pairs (a, b) that the sketch of their union lets through; of whole sets, a sharp bound."""
     num, den = threshold
     share = least_overlap(num / den, k) / k
-    sketch = classes.select("id", "sketch")
-    both = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    one, two = (classes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    near = checkpointed(both.withColumn("u", union).where(F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= F.size("u") * share).select("a", "b"))
+    shared = F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb"))
+    whole = (F.greatest("na", "nb") <= WHOLE * k) & (F.size(F.array_union("sa", "sb")) <= k)
+    bound = F.when(whole, (F.size("u") * num) / den - 2).otherwise(F.size("u") * share)  # 2: values that fall together by chance
+    return both.withColumn("u", union).where(shared >= bound).select("a", "b")
+
+
+def verified(near: DataFrame, texts: DataFrame, threshold: tuple[int, int], width: int) -> DataFrame:
+    """The pairs (a, b) with den * |intersection| >= num * |union|, by their full sets."""
+    num, den = threshold
     degrees = near.groupBy("a").agg(F.count(F.lit(1)).alias("d")).withColumn("s", F.ceil(F.col("d") / SALT).cast("int"))
     members = near.join(degrees, "a").select("a", F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("s"), F.lit(False).alias("pivot"), F.col("b").alias("id"))
     pivots = degrees.select("a", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("s"), F.lit(True).alias("pivot"), F.col("a").alias("id"))
     wanted = members.unionByName(pivots)
     if near.count() * 2 <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    rows = texts.join(wanted, "id").repartition(partitions(pairs.sparkSession), "a", "s").sortWithinPartitions("a", "s", F.desc("pivot"))
+    rows = texts.join(wanted, "id").repartition(partitions(near.sparkSession), "a", "s").sortWithinPartitions("a", "s", F.desc("pivot"))
     kind = rows.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,37 +173,41 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (8, 10), k: int = SKETCH) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (smallest id reachable) and kept (it is its component's)."""
     num, den = threshold
+    spark = docs.sparkSession
     rows = stored(sketches(docs, id_col, text_col, width, k))
-    members = rows.select("id", "n", "fp")
+    members = stored(rows.select("id", "n", "fp"))
     classes = stored(rows.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    # one text for each class; ids that repeat with different texts are told apart by set size and, below, by their exact sets
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    dropped(rows)
     lists = stored(inverted_lists(classes.drop("fp"), num / den, k))
+    met = lists.select("id").distinct()
+    active = stored(classes.drop("fp").join(met, "id", "left_semi"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    texts = stored(texts.join(F.broadcast(met) if active.count() <= BROADCAST_IDS else met, "id", "left_semi"))
     labels = None
-    tried = 0
-    work = None
+    tried, work = 0, None
     while True:
-        if labels is None:
-            marked = lists.withColumn("comp", F.col("id"))
-        else:
-            marked = lists.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        marked = lists.withColumn("comp", F.col("id")) if labels is None else lists.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         per = marked.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("v").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count(F.lit(1)).alias("c")).where("c > 1")
         left = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
         pairs_left, rows_left = float(left[0] or 0), float(left[1] or 0)
         if not rows_left:
             break
-        last = tried >= PIVOT_ROUNDS or pairs_left <= 4 * rows_left or (work is not None and pairs_left > 0.9 * work)
+        last = tried >= PIVOT_ROUNDS or (tried > 0 and pairs_left <= 2 * rows_left) or (work is not None and tried > 2 and pairs_left > 0.9 * work)
         work = pairs_left
         open_ = marked.join(per.select("v"), "v", "left_semi")
-        fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+        two = open_.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"))
+        own = [F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")]
+        apart = (F.col("ca") != F.col("cb")) & possible(threshold, k)
         if last:
-            one, two = open_.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), open_.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = one.join(two, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits)
+            pairs = open_.select("v", *own, F.col("pos").alias("pa")).join(two, "v").where((F.col("a") < F.col("b")) & apart)
         else:
-            order = F.struct(F.xxhash64(F.col("comp" if tried % 2 else "id"), F.lit(tried)).alias("h"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            pivot = open_.groupBy("v").agg(F.min(order).alias("p")).select("v", "p.*")
-            pairs = open_.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(pivot, "v").where((F.col("ca") != F.col("cb")) & fits)
-        links = verified(pairs.select("a", "b").distinct(), classes, texts, threshold, width, k)
+            first = F.col("pos") if tried == 0 else F.xxhash64(F.col("comp" if tried % 2 else "id"), F.lit(tried))
+            pivot = open_.groupBy("v").agg(F.min(F.struct(first.alias("h"), *own, F.col("pos").alias("pa"))).alias("p")).select("v", "p.*")
+            pairs = two.join(pivot, "v").where(apart)
+        near = checkpointed(similar(pairs.select("a", "b").distinct(), active, threshold, k))
+        if not last:  # one partner for each member will do: what stays apart comes up again
+            near = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        links = verified(near, texts, threshold, width)
         if labels is None:
             edges = links
         else:
@@ -187,9 +215,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             edges = links.join(at.withColumnsRenamed({"id": "a", "comp": "x"}), "a", "left").join(at.withColumnsRenamed({"id": "b", "comp": "y"}), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
             edges = edges.unionByName(labels.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")))
         labels = checkpointed(components(edges))
+        released(spark)
         tried += 1
         if last:
             break
+    dropped(lists, active, texts)
     classes = classes.select("fp", F.col("id").alias("rep"))
     if labels is not None:
         classes = classes.join(labels.withColumnsRenamed({"id": "rep"}), "rep", "left").select("fp", F.coalesce("comp", "rep").alias("comp"))
