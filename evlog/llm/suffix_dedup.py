@@ -41,8 +41,6 @@ LENGTH = 200
 LEAD = 40
 #: Suffixes of a bucket, about.
 BUCKET = 50_000
-#: Rows that are sent to all workers at most; beyond it, joins shuffle.
-BROADCAST_ROWS = 400_000
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -167,7 +165,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, length: int = LEN
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(doc)), pa.array(at << 20 | left << 10 | right), pa.array(h), pa.array(f)], ["id", "at", "h", "f"])
 
     found = texts.mapInArrow(find, f"id {kind}, at bigint, h bigint, f bigint")
-    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    shared = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))  # kept apart, so that the join can split a hot lead
     open_ = stored(found.join(shared, "h"))
     contexts = open_.groupBy("h", "f").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "at")).alias("x"))
     contexts = stored(contexts.select("h", "f", "c", "x.id", "x.at"))
@@ -176,9 +174,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, length: int = LEN
     copies = open_.join(contexts.where("c > 1").select("h", "f"), ["h", "f"]).where(left + right >= length).select("id", run(left, right).alias("run"))
     mixed = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("m")).where("k > 1 and m = 1").select("h")
     compared = contexts.join(mixed, "h", "left_semi").select("id", "at", "c")
-    few = compared.count()
     per = compared.groupBy("id").agg(F.collect_list(F.struct("at", "c")).alias("marks"))
-    per = F.broadcast(per) if few <= BROADCAST_ROWS else per
     marked = texts.join(per, texts["id"].eqNullSafe(per["id"])).select(texts["id"], "text", "marks")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +195,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, length: int = LEN
             yield pa.RecordBatch.from_arrays([pa.array(v, batch.schema.field("id").type if n == "id" else pa.binary() if n in ("lead", "context") else pa.int64()) for n, v in out.items()], list(out))
 
     suffixes = stored(marked.mapInArrow(cut_out, f"lead binary, id {kind}, at bigint, c bigint, context binary"))
-    buckets = max(partitions(spark), few // BUCKET)
+    buckets = max(partitions(spark), suffixes.count() // BUCKET)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -215,7 +211,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, length: int = LEN
     ranged = suffixes.repartitionByRange(buckets, "lead").mapInArrow(compare, f"id {kind}, a bigint, b bigint")
     runs = copies.unionByName(ranged.select("id", F.struct("a", "b").alias("run")))
     out = stored(runs.groupBy("id").agg(F.collect_list("run").alias("runs")))
-    dropped(open_, contexts, suffixes)
+    dropped(shared, open_, contexts, suffixes)
     return out
 
 
@@ -232,10 +228,9 @@ def merge(runs: list[dict], size: int) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, lead: int = LEAD) -> DataFrame:
     """``docs`` with n_bytes, n_removed, spans (start and end byte of each maximal removed run), kept (the remaining bytes) and kept_sha256 added."""
-    runs = repeated_runs(docs, id_col, text_col, length, lead).withColumnRenamed("id", "_id")
-    runs = F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("_own"), F.col(text_col).cast("string").alias("_text"))
-    both = own.join(runs, own["_own"].eqNullSafe(runs["_id"]), "left").select("row", F.encode(F.coalesce("_text", F.lit("")), "UTF-8").alias("bytes"), "runs")
+    runs = repeated_runs(docs, id_col, text_col, length, lead).toDF("__id", "__runs")
+    joined = docs.join(runs, docs[id_col].eqNullSafe(runs["__id"]), "left")
+    both = joined.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.encode(F.coalesce(docs[text_col].cast("string"), F.lit("")), "UTF-8").alias("bytes"), F.col("__runs").alias("runs"))
 
     @F.pandas_udf("n_bytes bigint, n_removed bigint, spans array<struct<a:bigint,b:bigint>>, kept binary, kept_sha256 string")
     def cut(data, marks):
