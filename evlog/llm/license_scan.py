@@ -8,8 +8,9 @@ be in the block (prefix filter), the block must have ``need`` template words
 (length filter), and from the first shared word on both sides must have enough
 words left (positional filter). What passes is counted in full, so the result
 is exact. Templates are a parameter: the side that is broadcast has one row for
-each template word of a prefix. Documents without any prefix word are never
-split into blocks, and only row keys and labels are shuffled, never texts.
+each template word of a prefix. A first pass notes which template words each
+document has, for the frequencies; documents without any prefix word are never
+split into blocks.
 
 Besides, phrases are counted where their words stand consecutively.
 
@@ -21,12 +22,14 @@ there is no place; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evlog.llm.sparkio import stored
+
 #: Phrases and their labels: fixed values.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
@@ -46,13 +49,23 @@ TEMPLATES = (
     ("reserved", "copyright all rights reserved"),
 )
 THRESHOLD = 0.8
+#: Keys of candidate documents that are sent to all workers at most; beyond it, the join shuffles.
+BROADCAST_KEYS = 1_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    """A-Z in lower case. ``lower`` is much faster than ``translate``, and differs for ASCII words in two characters only."""
+    text = F.coalesce(text, F.lit(""))
+    odd = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+    return F.when(odd, F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def words(text: Column) -> Column:
@@ -84,15 +97,10 @@ def phrase_columns(text: Column, phrases: Sequence[tuple[str, str]]) -> dict[str
     }
 
 
-def word_counts(text: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """How often each word of the vocabulary stands in the corpus (column ``words``)."""
-    rows = text.select(F.explode(F.split("words", " ")).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").agg(F.count(F.lit(1)).alias("c")).collect()
-    return {r.w: r.c for r in rows}
-
-
-def template_matches(rows: DataFrame, counts: dict[str, int], templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
-    """(key, block, label, containment) of every block that meets a template; ``rows`` has key, text (lower case) and words."""
+def template_matches(rows: DataFrame, seen: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+    """(key, block, label, containment) of every block that meets a template; ``rows`` has key and text, ``seen`` key and the template words that the text has."""
     spark = rows.sparkSession
+    counts = {r.w: r.c for r in seen.select(F.explode("has").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")).collect()}
     index, vocabulary = [], sorted({w for _, t in templates for w in t.split()}, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(vocabulary)}
     for k, (label, t) in enumerate(templates):
@@ -101,11 +109,14 @@ def template_matches(rows: DataFrame, counts: dict[str, int], templates: Sequenc
         index += [(r, k, label, i, own, need) for i, r in enumerate(own[: len(own) - need + 1])]
     by_word = spark.createDataFrame(index, "first int, template int, label string, i int, own array<int>, need int")
     prefix = sorted({vocabulary[r[0]] for r in index})
-    possible = reduce(lambda a, b: a | b, [F.contains("words", F.lit(f" {w} ")) for w in prefix])
-    blocks = rows.where(possible).select("key", F.posexplode(F.split("text", "\n")).alias("block", "line")).withColumn("line", words(F.col("line")))
+    near = seen.where(F.arrays_overlap("has", F.array(*map(F.lit, prefix)))).select("key").distinct()
+    if near.count() <= BROADCAST_KEYS:
+        near = F.broadcast(near)
+    blocks = rows.join(near, "key", "left_semi").select("key", F.posexplode(F.split(lowered(F.col("text")), "\n")).alias("block", "line"))
+    blocks = blocks.withColumn("line", words(F.col("line")))
     ranks = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))])
     have = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("line", " "), lambda w: F.element_at(ranks, w)), lambda r: r.isNotNull())))
-    blocks = blocks.where(reduce(lambda a, b: a | b, [F.contains("line", F.lit(f" {w} ")) for w in prefix])).withColumn("have", have)
+    blocks = blocks.withColumn("have", have).where(F.size("have") > 0)
     pairs = blocks.select("key", "block", "have", F.posexplode("have").alias("j", "first")).join(F.broadcast(by_word), "first")
     pairs = pairs.where((F.size("have") >= F.col("need")) & (F.size("own") - F.col("i") >= F.col("need")) & (F.size("have") - F.col("j") + F.least("i", "j") >= F.col("need")))
     shared = F.size(F.array_intersect("have", "own"))
@@ -114,12 +125,12 @@ def template_matches(rows: DataFrame, counts: dict[str, int], templates: Sequenc
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment; 1 with a phrase) and n_blocks."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), lowered(F.col(text_col)).alias("text"))
-    rows = rows.withColumn("words", words(F.col("text")))
-    counts = word_counts(rows, sorted({w for _, t in templates for w in t.split()}))
-    found = template_matches(rows, counts, templates, threshold)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, t in templates for w in t.split()})])
+    facts = once(words(lowered(F.col("text"))), lambda t: F.struct(*[c.alias(k) for k, c in phrase_columns(t, phrases).items()], F.filter(vocabulary, lambda w: F.contains(t, F.concat(F.lit(" "), w, F.lit(" ")))).alias("has")))
+    base = stored(rows.select("id", "key", facts.alias("facts"))).select("id", "key", "facts.*")
+    found = template_matches(rows.select("key", "text"), base.select("key", "has"), templates, threshold)
     found = found.groupBy("key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.countDistinct("block").alias("n_blocks"))
-    base = rows.select("id", "key", *[c.alias(k) for k, c in phrase_columns(F.col("words"), phrases).items()])
     out = base.join(found, "key", "left")
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     nothing = F.array().cast("array<string>")
