@@ -6,8 +6,10 @@ count there, to the bucket of its hash. A bucket adds up: it answers every
 group with the exact counts of that group's tokens, and turns its bigrams
 (seen ``CUTOFF`` times or more) into its own segment of the filter: one entry
 for each level up to 1 + floor(BASE-log(count / CUTOFF)). The filter has
-``BITS`` bits an entry, up to ``MAX_BYTES`` in all (beyond that its error rate
-rises, nothing else changes), and is broadcast.
+``BITS`` bits an entry at every size. It is broadcast in ranges of buckets of
+about ``RANGE_BYTES``; where there are several, each is one more pass over the
+documents, which adds up the terms of the range's bigrams, and the passes meet
+by row.
 
 The base score uses the exact counts. The model reads a bigram's level by
 probing levels from 1 until one is missing, takes the least count of that level
@@ -23,10 +25,12 @@ train, counted) each for itself; a null id trains, as its remainder is not 2.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +41,14 @@ CUTOFF = 2
 BASE = 1.5
 BITS = 12
 PROBES = 5
-MAX_BYTES = 192 << 20
+#: Bytes of the filter that are broadcast at once.
+RANGE_BYTES = 192 << 20
 LAMBDA = 0.25
 GROUP_BYTES = 12 << 20
 BUCKET_TOKENS = 1_000_000
 END = np.uint64(0x5EED0FE4D)
+#: The segment of a bucket without bigrams.
+NO_SEGMENT = b"\0" * 9
 
 
 def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,17 +100,31 @@ class Tally:
         return _summed(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))
 
 
-def segment(hashes: np.ndarray, counts: np.ndarray, most_bytes: int) -> bytes:
-    """A bucket's part of the filter."""
+def segment(hashes: np.ndarray, counts: np.ndarray, most_bytes: int | None = None) -> bytes:
+    """A bucket's part of the filter, and its highest level in one more byte; scoring sets no ``most_bytes``."""
     keep = counts >= CUTOFF
     hashes, level = hashes[keep], levels(counts[keep])
-    size = min(most_bytes * 8, max(64, int(level.sum()) * BITS))
+    size = max(64, int(level.sum()) * BITS)
+    if most_bytes is not None:
+        size = min(size, most_bytes * 8)
     size = -(-size // 8) * 8
     bits = np.zeros(size, dtype=bool)
-    for j in range(1, int(level.max(initial=0)) + 1):
+    top = int(level.max(initial=0))
+    for j in range(1, top + 1):
         for at in positions(hashes[level >= j], j, np.uint64(size)):
             bits[at.astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+    return np.packbits(bits, bitorder="little").tobytes() + bytes([top])
+
+
+def ranges(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """(first, end) of the runs of buckets whose segments have at most ``most`` bytes together; a larger segment is a run of its own."""
+    cuts, held = [0], 0
+    for b, n in enumerate(sizes):
+        if held and held + n > most:
+            cuts.append(b)
+            held = 0
+        held += n
+    return list(zip(cuts, [*cuts[1:], len(sizes)], strict=True))
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -128,10 +149,11 @@ def remainder(hashes: np.ndarray, shift: np.uint64) -> np.ndarray:
 
 
 class Filter:
-    """All segments, for probing."""
+    """The segments of a range of buckets, for probing."""
 
     def __init__(self, parts: list[bytes]):
-        self.size = np.array([8 * len(p) for p in parts], dtype=np.uint64)
+        self.size = np.array([8 * (len(p) - 1) for p in parts], dtype=np.uint64)
+        self.top = np.array([p[-1] for p in parts], dtype=np.int64)
         self.start = np.cumsum(np.append(0, [len(p) for p in parts]))[:-1]
         self.bits = np.frombuffer(b"".join(parts), np.uint8)
 
@@ -139,8 +161,8 @@ class Filter:
         """The highest level up to which all entries are there; 0 if there is none."""
         out = np.zeros(len(hashes), dtype=np.int64)
         live = np.arange(len(hashes))
-        level = 1
-        while len(live):
+        for level in range(1, int(self.top.max(initial=0)) + 1):
+            live = live[self.top[bucket[live]] >= level]
             a = tb.mix64(hashes[live] + np.uint64(level * 0xA24BAED4963EE407 % 2**64))
             b = tb.mix64(a) | np.uint64(1)
             for _ in range(PROBES):
@@ -148,7 +170,6 @@ class Filter:
                 hit = (self.bits[self.start[bucket[live]] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 live, a, b = live[hit], (a + b)[hit], b[hit]
             out[live] = level
-            level += 1
         return out
 
 
@@ -196,7 +217,6 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
             yield from flush()
 
     sent = dealt.select("g", "held_out", "text").mapInArrow(count, "bucket bigint, kind bigint, g bigint, hashes binary, counts binary")
-    most = MAX_BYTES // buckets
 
     def add_up(key: tuple, rows: pa.Table) -> pa.Table:
         bucket, which = key[0].as_py(), key[1].as_py()
@@ -216,22 +236,52 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
                 put(bucket, 1, g, x[total > 0].tobytes(), _small(total[total > 0]).tobytes(), 0, 0)
             put(bucket, 0, -1, b"", b"", int(c.sum()), int((c > 0).sum()))
         else:
-            put(bucket, 2, -1, segment(tb.mix64(h.astype(np.uint64)), c, most), b"", 0, 0)
+            put(bucket, 2, -1, segment(tb.mix64(h.astype(np.uint64)), c), b"", 0, 0)
         types = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 2
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
     answers = stored(sent.groupBy("bucket", "kind").applyInArrow(add_up, "bucket bigint, kind bigint, g bigint, hashes binary, counts binary, n bigint, v bigint"))
     total = answers.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = int(total[0]), int(total[1])
-    parts = [b"\0" * 8] * buckets
-    for r in answers.where("kind = 2").select("bucket", "hashes").toLocalIterator():
-        parts[r.bucket] = bytes(r.hashes)
-    shared = sc.broadcast(parts)
-
+    segments = answers.where("kind = 2")
+    sizes = [len(NO_SEGMENT)] * buckets
+    for r in segments.select("bucket", F.octet_length("hashes").alias("n")).collect():
+        sizes[r.bucket] = r.n
+    spans = ranges(sizes, RANGE_BYTES)
+    if len(spans) > 1:
+        own = stored(own.withColumn("row", F.monotonically_increasing_id()))
+    else:
+        own = own.withColumn("row", F.lit(0).cast("bigint"))
     both = dealt_union(own, answers.where("kind = 1"), kind).repartition(width, "g").sortWithinPartitions("g", "doc")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt = Filter(shared.value)
+    result = f"row bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+    def judged(lo: int, hi: int) -> tuple[DataFrame, Broadcast]:
+        """Rows with the terms of the bigrams of buckets lo to hi - 1 as score."""
+        parts = [NO_SEGMENT] * (hi - lo)
+        for r in segments.where(F.col("bucket").between(lo, hi - 1)).select("bucket", "hashes").toLocalIterator():
+            parts[r.bucket - lo] = bytes(r.hashes)
+        shared = sc.broadcast(Filter(parts))
+        return both.mapInArrow(judge(shared, lo, hi, n, v, shift), result), shared
+
+    if len(spans) == 1:
+        scored = judged(*spans[0])[0]
+    else:
+        passes = []
+        for lo, hi in spans:
+            found, shared = judged(lo, hi)
+            passes.append(stored(found if not passes else found.select("row", "score")).withColumn("pass", F.lit(len(passes))))
+            shared.destroy()
+        terms = reduce(DataFrame.unionByName, [p.select("row", "pass", "score") for p in passes])
+        terms = terms.groupBy("row").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("pass", "score"))), F.lit(0.0), lambda a, x: a + x.score).alias("score"))
+        scored = passes[0].drop("pass", "score").join(terms, "row")
+    return scored.drop("row").withColumnRenamed("id", id_col)
+
+
+def judge(shared: Broadcast, lo: int, hi: int, n: int, v: int, shift: np.uint64) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores documents, which follow the answers to their group; only bigrams of buckets lo to hi - 1 count in ``score``."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filt = shared.value
         now, known_h, known_c, pending = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
         low = math.log10(1 / (n + v + 1))
         for batch in batches:
@@ -260,21 +310,24 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
                     ends = END == seq
                     before = np.append(int(c[np.flatnonzero(ends)[0]]), c[:-1])
                     pair = bigrams(seq)
-                    level = filt.level((pair >> shift).astype(np.int64), tb.mix64(remainder(pair, shift)))
-                    p = LAMBDA * least_count(level) / np.maximum(before, 1) + (1 - LAMBDA) * 10**base
-                    own_score = np.log10(np.minimum(p, 1.0))
+                    bucket = (pair >> shift).astype(np.int64)
+                    here = np.flatnonzero((bucket >= lo) & (bucket < hi))
+                    level = filt.level(bucket[here] - lo, tb.mix64(remainder(pair[here], shift)))
+                    p = LAMBDA * least_count(level) / np.maximum(before[here], 1) + (1 - LAMBDA) * 10 ** base[here]
+                    own_score = np.zeros(len(seq))
+                    own_score[here] = np.log10(np.minimum(p, 1.0))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("id").slice(i, j - i), part.column("held_out").slice(i, j - i), pa.array(np.diff(first)), pa.array(np.add.reduceat((c > 0).astype(np.int64), first[:-1])), pa.array(np.full(j - i, n)), pa.array(np.add.reduceat(base, first[:-1])), pa.array(np.add.reduceat(own_score, first[:-1]))],
-                        ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                        [part.column("row").slice(i, j - i), part.column("id").slice(i, j - i), part.column("held_out").slice(i, j - i), pa.array(np.diff(first)), pa.array(np.add.reduceat((c > 0).astype(np.int64), first[:-1])), pa.array(np.full(j - i, n)), pa.array(np.add.reduceat(base, first[:-1])), pa.array(np.add.reduceat(own_score, first[:-1]))],
+                        ["row", "id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                     )
 
-    return both.mapInArrow(judge, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").withColumnRenamed("id", id_col)
+    return score
 
 
 def dealt_union(docs: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
     """Documents and the answers to their groups in one frame; within a group the answers sort first."""
     none = F.lit(None)
-    return answers.select(F.col("g").cast("int").alias("g"), F.lit(False).alias("doc"), none.cast(kind).alias("id"), none.cast("boolean").alias("held_out"), none.cast("string").alias("text"), "hashes", "counts").unionByName(docs.select("g", F.lit(True).alias("doc"), "id", "held_out", "text", none.cast("binary").alias("hashes"), none.cast("binary").alias("counts")))
+    return answers.select(F.col("g").cast("int").alias("g"), F.lit(False).alias("doc"), none.cast(kind).alias("id"), none.cast("boolean").alias("held_out"), none.cast("bigint").alias("row"), none.cast("string").alias("text"), "hashes", "counts").unionByName(docs.select("g", F.lit(True).alias("doc"), "id", "held_out", "row", "text", none.cast("binary").alias("hashes"), none.cast("binary").alias("counts")))
 
 
 def _same(values: np.ndarray) -> list[tuple[int, int]]:

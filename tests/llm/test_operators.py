@@ -100,6 +100,21 @@ def test_4_filter_holds_all_it_was_given():
     assert (lm_scoring.least_count(lm_scoring.levels(c)) <= c).all()
 
 
+def test_4_filter_keeps_its_bits_at_every_size(docs, rows, monkeypatch):
+    held = F.col("doc_id") % 4 == 2
+    want = sorted(map(tuple, lm_scoring.score_documents(docs, held).collect()))
+    monkeypatch.setattr(lm_scoring, "MAX_BYTES", 2000, raising=False)
+    monkeypatch.setattr(lm_scoring, "RANGE_BYTES", 2000, raising=False)  # several passes
+    got = sorted(map(tuple, lm_scoring.score_documents(docs, held).collect()))
+    assert [g[:6] for g in got] == [w[:6] for w in want] and np.allclose([g[6] for g in got], [w[6] for w in want], rtol=0, atol=1e-9)
+    assert lm_scoring.ranges([3, 3, 9, 1, 1], 6) == [(0, 2), (2, 3), (3, 5)]
+
+
+def test_4_a_full_segment_ends():
+    f = lm_scoring.Filter([b"\xff" * 8 + b"\x03"])
+    assert f.level(np.zeros(5, np.int64), np.arange(5).astype(np.uint64)).tolist() == [3] * 5
+
+
 def test_5_language(docs, rows, nothing):
     learned = language_id.samples(docs, F.col("doc_id") % 3 != 1)
     assert set(learned) == {"de", "en"}
