@@ -7,7 +7,7 @@ a time; the range that is left after ``window`` words holds all places of that
 window, so longest verbatim matches and their locations follow from the ranges.
 A shard is searched where it is read: documents are not shuffled. The test
 items are sent to the workers in blocks of ``block_bytes``; more items mean
-more passes, whose spans meet by document.
+more passes over a written table with row numbers, whose spans meet by row.
 
 Defined cases: null or empty text has no words and is not hit; an item without
 words is skipped; an item shorter than the window is one window of its own
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evlog.llm import textbytes as tb
+from evlog.llm.sparkio import stored
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -126,13 +128,14 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
         if size >= block_bytes:
             yield ids, texts
             ids, texts, size = [], [], 0
-    yield ids, texts
+    if texts:
+        yield ids, texts
 
 
-def matches(docs: DataFrame, ids: list[str], texts: list[str], id_col: str, text_col: str, window: int) -> DataFrame:
-    """Per document: n_words, merged hit spans (first word, end word) and the ids of the items found."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words bigint, span_from array<bigint>, span_to array<bigint>, items array<string>"
+def matches(docs: DataFrame, ids: list[str], texts: list[str], window: int) -> DataFrame:
+    """Per row of (row, id, text): n_words, merged hit spans (first word, end word) and the ids of the items found."""
+    kind = docs.schema["id"].dataType.simpleString()
+    schema = f"row bigint, id {kind}, n_words bigint, span_from array<bigint>, span_to array<bigint>, items array<string>"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = TestSuffixes(texts, window)
@@ -152,24 +155,33 @@ def matches(docs: DataFrame, ids: list[str], texts: list[str], id_col: str, text
                     froms[d], tos[d] = _merge(at[a:b] - first[d], at[a:b] - first[d] + tests.length[test[a:b]])
                     items[d] = sorted({ids[k] for k in np.unique(tests.item[test[a:b]])})
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(i, j - i), pa.array(np.diff(first)), *(pa.array(x, pa.list_(pa.int64())) for x in (froms, tos)), pa.array(items, pa.list_(pa.string()))],
-                    ["id", "n_words", "span_from", "span_to", "items"],
+                    [batch.column("row").slice(i, j - i), batch.column("id").slice(i, j - i), pa.array(np.diff(first)), *(pa.array(x, pa.list_(pa.int64())) for x in (froms, tos)), pa.array(items, pa.list_(pa.string()))],
+                    ["row", "id", "n_words", "span_from", "span_to", "items"],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(search, schema)
+    return docs.mapInArrow(search, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match (words in its longest merged span).
 
-    With several blocks of items, the hit spans of the passes are united per document by id, which must then be unique.
+    With several blocks of items, the documents are written once with a row number, by which the hit spans of the passes are united.
     """
-    passes = [matches(docs, ids, texts, id_col, text_col, window) for ids, texts in item_blocks(benchmark, item_col, item_text_col, block_bytes)]
-    found = passes[0]
-    if len(passes) > 1:
-        for more in passes[1:]:
-            found = found.unionByName(more)
-        found = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("span_from")).alias("span_from"), F.flatten(F.collect_list("span_to")).alias("span_to"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    rows = docs.select(F.lit(0).cast("bigint").alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    now, more = next(blocks, ([], [])), next(blocks, None)
+    if more is None:
+        found = matches(rows, *now, window)
+        sizes = F.zip_with("span_to", "span_from", lambda b, a: b - a)
+        found = found.withColumn("n_hit", F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x)).withColumn("longest_match", F.coalesce(F.array_max(sizes), F.lit(0).cast("bigint")))
+    else:
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
+        passes = [stored(matches(rows, *now, window))]
+        while more is not None:
+            passes.append(stored(matches(rows, *more, window).where(F.size("items") > 0)))
+            more = next(blocks, None)
+        found = reduce(DataFrame.unionByName, passes)
+        found = found.groupBy("row", "id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("span_from")).alias("span_from"), F.flatten(F.collect_list("span_to")).alias("span_to"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         spans = F.array_sort(F.arrays_zip("span_from", "span_to"))
         reach = F.aggregate(
             spans,
@@ -182,9 +194,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             ),
         )
         found = found.withColumn("r", reach).withColumns({"n_hit": F.col("r.hit"), "longest_match": F.col("r.longest")})
-    else:
-        sizes = F.zip_with("span_to", "span_from", lambda b, a: b - a)
-        found = found.withColumn("n_hit", F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x)).withColumn("longest_match", F.coalesce(F.array_max(sizes), F.lit(0).cast("bigint")))
     return found.select(
         F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest_match"
     )

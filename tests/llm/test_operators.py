@@ -189,6 +189,17 @@ def test_7_decontamination(spark, docs, rows, nothing):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_7_blocks_keep_every_row(spark):
+    a, b = "one two three four five six seven eight nine ten eleven", "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(None, a), (None, f"{b} {b}"), (None, a), (3, a), (3, "x " + a), (3, a), (4, f"{a} {b}"), (None, None)]
+    items = [(1, a), (2, b), (5, "theta iota kappa")]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(decontaminate.brute_force(rows, items), key=str)
+    for block in (1 << 20, 60, 10):
+        got = decontaminate.decontaminate(docs, bench, block_bytes=block).drop("longest_match")
+        assert sorted(map(tuple, got.collect()), key=str) == want, block
+
+
 def test_8_packing(docs, rows, nothing, tokenizer):
     encoder = packing.Encoder(tokenizer)
     got: dict[int, list] = {}
