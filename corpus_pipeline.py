@@ -6,8 +6,9 @@ the columns of ``documents``. Packing needs a tokenizer, so SQL can't express
 the result: ``ORACLE_SQL`` is None, and tests hold every stage against a
 brute-force version.
 
-Defined cases are those of the operators. Rows that repeat with id and text are
-one group of copies: one row stays.
+Defined cases are those of the operators. Stages decide on rows, which they
+number, not on ids: texts under one id or a null id are documents of their own.
+Rows that repeat with id and text are one group of copies: one row stays.
 """
 
 from __future__ import annotations
@@ -25,10 +26,15 @@ from evlog.llm.sparkio import stored, table
 BROADCAST_IDS = 400_000
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    ids = stored(ids.select(F.col("doc_id").alias("_id")).distinct())
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]), how)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, written with a number for each row (``__row``)."""
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def _by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    rows = stored(rows.select("__row"))
+    side = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    return docs.join(side, "__row", how).drop("__row")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +45,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    found = stored(near_dedup.near_duplicates(docs).where("kept").select("doc_id"))
-    kept = _by_id(docs, found, "left_semi")
-    if found.count() != found.distinct().count():  # rows that repeat with their id
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    """Of each group of near copies the document with the smallest id stays (one without an id if none has one)."""
+    rows = _numbered(docs)
+    found = near_dedup.near_duplicates(rows, id_col="__row")
+    own = rows.select("__row", "doc_id", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256).alias("digest"), F.col("text").isNull().alias("none"))
+    # texts without words are linked with nothing: of those, only rows equal in id and text are one group
+    alone = F.when(F.col("n_shingles") == 0, F.struct("doc_id", "none", "digest"))
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "__row")).alias("first")
+    kept = found.join(own, "__row").groupBy(group.alias("group"), alone.alias("alone")).agg(first).select("first.__row")
+    return _by_row(rows, kept, "left_semi")
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +71,9 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _by_id(docs, found.where("contaminated"), "left_anti")
+    rows = _numbered(docs)
+    found = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="__row")
+    return _by_row(rows, found.where("contaminated"), "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

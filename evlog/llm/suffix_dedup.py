@@ -20,8 +20,8 @@ the array is sparse, and exact all the same:
 
 Defined cases: null or empty text has no bytes; text shorter than ``LENGTH``
 loses nothing; repeated rows are documents of their own (their whole texts
-repeat); rows with equal id must have equal text; a null id is an id like any
-other; empty tables give empty results.
+repeat); rows are numbered, so texts under one id or a null id keep their runs
+apart; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -228,9 +228,11 @@ def merge(runs: list[dict], size: int) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, lead: int = LEAD) -> DataFrame:
     """``docs`` with n_bytes, n_removed, spans (start and end byte of each maximal removed run), kept (the remaining bytes) and kept_sha256 added."""
-    runs = repeated_runs(docs, id_col, text_col, length, lead).toDF("__id", "__runs")
-    joined = docs.join(runs, docs[id_col].eqNullSafe(runs["__id"]), "left")
-    both = joined.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.encode(F.coalesce(docs[text_col].cast("string"), F.lit("")), "UTF-8").alias("bytes"), F.col("__runs").alias("runs"))
+    columns = docs.columns
+    docs = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    runs = repeated_runs(docs, "__row", text_col, length, lead).toDF("__id", "__runs")
+    joined = docs.join(runs, docs["__row"] == runs["__id"], "left")
+    both = joined.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.encode(F.coalesce(docs[text_col].cast("string"), F.lit("")), "UTF-8").alias("bytes"), F.col("__runs").alias("runs"))
 
     @F.pandas_udf("n_bytes bigint, n_removed bigint, spans array<struct<a:bigint,b:bigint>>, kept binary, kept_sha256 string")
     def cut(data, marks):

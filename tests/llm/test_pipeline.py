@@ -78,3 +78,20 @@ def test_null_ids_and_repeats(spark):
     got = near_dedup.near_duplicates(docs).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (3, 3), (3, 3)]
     assert cp.near_dedup_stage(spark, docs, "").count() == 2
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark, tmp_path):
+    base = [" ".join(f"{w}{k}" for k in range(60)) for w in ("alpha", "beta", "gamma", "delta", "eps")]
+    leak = " ".join(base[4].split()[:12])
+    texts = [(None, base[0]), (None, base[1]), (None, base[0]), (3, base[2]), (3, base[3]), (3, base[2]), (None, base[2] + " more"), (None, base[4]), (3, base[4] + " end of it"), (5, "%"), (5, "%"), (5, "?"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    key = lambda r: (r[0] or 0, r[1] or "")
+    kept = cp.near_dedup_stage(spark, docs, "")
+    want = [(None, base[0]), (None, base[1]), (3, base[2]), (3, base[3]), (3, base[4] + " end of it"), (5, "%"), (5, "?"), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key) and kept.columns == docs.columns
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = cp.decontamination_stage(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=key) == sorted([t for t in texts if leak not in (t[1] or "")], key=key)
+    own = [(i, t) for i, t in texts if t != base[2]]
+    got = suffix_dedup.dedup(docs.where(f"text is null or text <> '{base[2]}'")).selectExpr("doc_id", "n_bytes", "n_removed", "size(spans)", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(suffix_dedup.brute_force(own), key=str)
