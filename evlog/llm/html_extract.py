@@ -1,9 +1,10 @@
 """HTML extraction (1): nearest-URL page differencing.
 
 Pages of a host are sorted by URL path and each is paired with the neighbour
-whose path shares the longer prefix; hosts of many pages are split by a hash of
-the path into sub-hosts of about ``SUBHOST`` pages first, so that no group is
-large. The text lines of a pair are aligned by longest common subsequence and
+whose path shares the longer prefix. The order is cut into ranges of about
+``RANGE`` pages wherever it falls due, and the first and last page of each range
+meet their neighbours beyond the cut afterwards: every page is paired with its
+true neighbour at every size, and no host is one task. The text lines of a pair are aligned by longest common subsequence and
 lines that the pair shares are deleted. Only hashes of lines travel to the
 pairing; a page is parsed once.
 
@@ -31,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evlog.llm.sparkio import stored
+from evlog.llm.sparkio import partitions, stored
 from evlog.llm.textbytes import BYTE64, span_hashes
 from evlog.llm.url_filter import url_parts
 
-SUBHOST = 10_000
-#: Longest sequences aligned in full; longer ones are aligned by lines that stand once in both.
+#: Pages of a range of the order of URLs, about.
+RANGE = 100_000
+#: Largest table of an alignment; longer sequences are halved until they fit (Hirschberg), with the same result.
 ALIGN_CELLS = 4_000_000
 BROADCAST_ROWS = 200_000
 
@@ -158,6 +160,43 @@ def line_hash(texts: list[str]) -> np.ndarray:
     return span_hashes(raw, ends - np.array([len(d) for d in data], dtype=np.int64), ends, BYTE64).view(np.int64) if data else np.zeros(0, np.int64)
 
 
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of a longest common subsequence of a with each prefix of b, in the memory of one row."""
+    row, b_ = np.zeros(len(b) + 1, np.int32), np.array(b, dtype=np.int64)
+    for v in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b_ == v)))
+    return row
+
+
+def _aligned(x: list[int], y: list[int]) -> list[int]:
+    """Indexes in x of a longest common subsequence with y."""
+    if not x or not y:
+        return []
+    if len(x) == 1:
+        return [0] if x[0] in y else []
+    if len(x) * len(y) > ALIGN_CELLS:
+        half = len(x) // 2
+        k = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        return _aligned(x[:half], y[:k]) + [half + i for i in _aligned(x[half:], y[k:])]
+    best = [[0] * (len(y) + 1)]
+    for v in x:
+        row, up = [0], best[-1]
+        for c, w in enumerate(y):
+            row.append(up[c] + 1 if v == w else max(up[c + 1], row[c]))
+        best.append(row)
+    out = []
+    i, j = len(x), len(y)
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(i)
+        elif best[i - 1][j] >= best[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
 def common_lines(a: list[int], b: list[int]) -> list[int]:
     """Indexes in a of a longest common subsequence with b."""
     lo, hi_a, hi_b = 0, len(a), len(b)
@@ -170,46 +209,7 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     both = set(x) & set(y)
     keep_x, keep_y = [i for i, v in enumerate(x) if v in both], [j for j, v in enumerate(y) if v in both]  # lines of one side only match nothing
     if keep_x and keep_y:
-        if len(keep_x) * len(keep_y) > ALIGN_CELLS:  # anchors: lines that stand once in both, in the order of a longest increasing run
-            from bisect import bisect_left
-            from collections import Counter
-
-            cx, cy = Counter(x), Counter(y)
-            where = {y[j]: j for j in keep_y if cy[y[j]] == 1}
-            tails: list[int] = []
-            seats: list[list[tuple[int, int]]] = []
-            for i in keep_x:
-                if cx[x[i]] == 1 and x[i] in where:
-                    j = where[x[i]]
-                    k = bisect_left(tails, j)
-                    prev = len(seats[k - 1]) - 1 if k else -1
-                    if k == len(tails):
-                        tails.append(j)
-                        seats.append([])
-                    else:
-                        tails[k] = j
-                    seats[k].append((i, prev))
-            k, at = len(seats) - 1, len(seats[-1]) - 1 if seats else -1
-            while k >= 0:
-                i, prev = seats[k][at]
-                out.append(lo + i)
-                k, at = k - 1, prev
-        else:
-            best = [[0] * (len(keep_y) + 1)]
-            for i in keep_x:
-                row, up = [0], best[-1]
-                for c, j in enumerate(keep_y):
-                    row.append(up[c] + 1 if x[i] == y[j] else max(up[c + 1], row[c]))
-                best.append(row)
-            i, j = len(keep_x), len(keep_y)
-            while i and j:
-                if x[keep_x[i - 1]] == y[keep_y[j - 1]]:
-                    i, j = i - 1, j - 1
-                    out.append(lo + keep_x[i])
-                elif best[i - 1][j] >= best[i][j - 1]:
-                    i -= 1
-                else:
-                    j -= 1
+        out += [lo + keep_x[i] for i in _aligned([x[i] for i in keep_x], [y[j] for j in keep_y])]
     return sorted(out)
 
 
@@ -231,8 +231,57 @@ def main_text(roles: list[int], texts: list[str], shared: set[int]) -> tuple[str
     return "\n".join(t for i, (r, t) in enumerate(zip(roles, texts, strict=True)) if r == OTHER and i not in shared), gone
 
 
+def _shared(page: dict, before: tuple | None, after: tuple | None) -> list[int]:
+    """The lines a page shares with the nearer of its neighbours (path, hashes); a page that repeats is its own nearest."""
+    if page["n"] > 1:
+        return list(range(len(page["hashes"])))
+    sides = [(_prefix(page["path"], x[0]), -i, x[1]) for i, x in enumerate((before, after)) if x is not None]
+    return common_lines(page["hashes"], max(sides, key=lambda s: s[:2])[2]) if sides else []
+
+
+def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shared lines of the pages of a range; its first and last page pass on with the neighbour they have here."""
+    types = [("key", pa.int64()), ("shared", pa.list_(pa.int32())), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("n", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_()), ("inner_path", pa.string()), ("inner_hashes", pa.list_(pa.int64()))]
+    out: list[dict] = []
+
+    def judged(before: dict | None, page: dict, after: dict | None) -> dict:
+        sides = [(x["path"], x["hashes"]) if x is not None and x["host"] == page["host"] else None for x in (before, after)]
+        if before is not None and after is not None:
+            return {"key": page["key"], "shared": _shared(page, *sides), "first": False, "last": False}
+        inner = sides[0] or sides[1] or (None, None)
+        return {**page, "first": before is None, "last": after is None, "inner_path": inner[0], "inner_hashes": inner[1]}
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in out], t) for n, t in types], [n for n, _ in types])
+
+    before = page = None
+    for part in batches:
+        for after in part.to_pylist():
+            if page is not None:
+                out.append(judged(before, page, after))
+            before, page = page, after
+        if len(out) >= 1000:
+            yield batch()
+            out = []
+    if page is not None:
+        out.append(judged(before, page, None))
+        yield batch()
+
+
+def align_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for first and last pages, whose neighbours beyond the cut are the edges next to them."""
+    for batch in batches:
+        rows = batch.to_pylist()
+        found = []
+        for r in rows:
+            inner, before, after = (None if r[f"{s}_path"] is None else (r[f"{s}_path"], r[f"{s}_hashes"]) for s in ("inner", "before", "after"))
+            found.append(_shared(r, before if r["first"] else inner, after if r["last"] else inner))
+        yield pa.RecordBatch.from_arrays([pa.array([r["key"] for r in rows], pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["key", "shared"])
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: id, url, text, n_chars, n_shared (lines shared with its nearest page) and n_deleted (of them, decided by it)."""
+    spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
     host, path = url_parts(F.col(url_col))
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("html"), F.xxhash64(id_col, url_col, html_col).alias("key"))
@@ -249,22 +298,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 )
 
     parsed = stored(source.mapInArrow(parse, f"id {kind}, url string, host string, path string, key bigint, roles array<int>, lines array<string>, hashes array<bigint>"))
-    sizes = parsed.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / SUBHOST).cast("int").alias("parts"))
-    keys = parsed.select("key", "host", "path", "hashes").join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")))
-    near = Window.partitionBy("host", "part").orderBy("path", "key")
-    paired = keys.select("key", "path", "hashes", *[f(c).over(near).alias(f"{name}_{c}") for name, f in (("before", F.lag), ("after", F.lead)) for c in ("path", "hashes")])
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, out = [], []
-            for row in batch.to_pylist():
-                sides = [(_prefix(row["path"], row[f"{s}_path"]), -i, row[f"{s}_hashes"]) for i, s in enumerate(("before", "after")) if row[f"{s}_path"] is not None]
-                if sides and (found := common_lines(row["hashes"], max(sides, key=lambda s: s[:2])[2])):
-                    key.append(row["key"])
-                    out.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["key", "shared"])
-
-    shared = stored(paired.mapInArrow(align, "key bigint, shared array<int>").groupBy("key").agg(F.max_by("shared", F.size("shared")).alias("shared")))
+    pages_ = parsed.groupBy("key", "host", "path").agg(F.first("hashes").alias("hashes"), F.count(F.lit(1)).alias("n"))
+    ranges = max(partitions(spark), parsed.count() // RANGE)
+    ranged = pages_.repartitionByRange(ranges, "host", "path", "key").sortWithinPartitions("host", "path", "key")
+    edge = "host string, path string, hashes array<bigint>, n bigint, first boolean, last boolean, inner_path string, inner_hashes array<bigint>"
+    aligned = stored(ranged.mapInArrow(align, f"key bigint, shared array<int>, {edge}"))
+    near = Window.partitionBy("host").orderBy("path", "key")  # two rows a range
+    edges = aligned.where("first or last").select("*", *[f(c).over(near).alias(f"{name}_{c}") for name, f in (("before", F.lag), ("after", F.lead)) for c in ("path", "hashes")])
+    shared = stored(aligned.where("not (first or last)").select("key", "shared").unionByName(edges.mapInArrow(align_edges, "key bigint, shared array<int>")).where(F.size("shared") > 0))
     joined = parsed.drop("hashes", "host", "path").join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "key", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,6 +34,35 @@ def test_1_html(spark, nothing):
     html_extract.ALIGN_CELLS = old
 
 
+def test_1_every_page_meets_its_true_neighbour(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, f"http://{h}/{s}/{k:03}", f"<p>menu of {h} {s} {k // 2}<p>own {i}", "r") for i, (h, s, k) in enumerate((h, s, k) for h in ("hot.com", "b.org") for s in "xyz" for k in range(40 if h == "hot.com" else 2))]
+    rng.shuffle(rows)
+    order = sorted((u.split("/")[2], "/" + u.split("/", 3)[3], i, [t for t in h.split("<p>") if t]) for i, u, h, _ in rows)
+    want = {}
+    for at, (host, path, i, own) in enumerate(order):
+        near = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order) and order[k][0] == host]
+        best = max(near, key=lambda x: html_extract._prefix(path, x[1]))
+        want[i] = "\n".join(t for t in own if t not in best[3])
+    monkeypatch.setattr(html_extract, "SUBHOST", 5, raising=False)
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, roles string")
+    for size in (100_000, 4):
+        monkeypatch.setattr(html_extract, "RANGE", size, raising=False)
+        assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+
+
+def test_1_long_pages_are_aligned_in_full(monkeypatch):
+    rng = random.Random(7)
+    for _ in range(30):
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        monkeypatch.setattr(html_extract, "ALIGN_CELLS", 4_000_000)
+        whole = html_extract.common_lines(a, b)
+        monkeypatch.setattr(html_extract, "ALIGN_CELLS", 0)
+        found = html_extract.common_lines(a, b)
+        rest = iter(b)
+        assert len(found) == len(whole) and found == sorted(set(found)) and all(a[i] in rest for i in found)
+
+
 def test_2_suffix_dedup(docs, rows, nothing):
     cols = ["doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), "kept_sha256"]
     got = sorted(map(tuple, suffix_dedup.dedup(docs).select(*cols).collect()))
