@@ -4,8 +4,9 @@ Training counts come from all training documents. Documents are dealt to
 groups by hash; a group sends each distinct token (and bigram) once, with its
 count there, to the bucket of its hash. A bucket adds up: it answers every
 group with the exact counts of that group's tokens, and turns its bigrams
-(seen ``CUTOFF`` times or more) into its own segment of the filter: one entry
-for each level up to 1 + floor(BASE-log(count / CUTOFF)). The filter has
+(seen ``cutoff`` times or more; all of them in op4, where it is 1) into its own
+segment of the filter: one entry for each level up to
+1 + floor(BASE-log(count / cutoff)). The filter has
 ``BITS`` bits an entry at every size. It is broadcast in ranges of buckets of
 about ``RANGE_BYTES``; where there are several, each is one more pass over the
 documents, which adds up the terms of the range's bigrams, and the passes meet
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from evlog.llm import textbytes as tb
 from evlog.llm.sparkio import partitions, stored
 
+#: Least count of a bigram in the filter, where a caller names none; op4 names 1, so that none is left out.
 CUTOFF = 2
 BASE = 1.5
 BITS = 12
@@ -100,10 +102,10 @@ class Tally:
         return _summed(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))
 
 
-def segment(hashes: np.ndarray, counts: np.ndarray, most_bytes: int | None = None) -> bytes:
+def segment(hashes: np.ndarray, counts: np.ndarray, most_bytes: int | None = None, cutoff: int = CUTOFF) -> bytes:
     """A bucket's part of the filter, and its highest level in one more byte; scoring sets no ``most_bytes``."""
-    keep = counts >= CUTOFF
-    hashes, level = hashes[keep], levels(counts[keep])
+    keep = counts >= cutoff
+    hashes, level = hashes[keep], levels(counts[keep], cutoff)
     size = max(64, int(level.sum()) * BITS)
     if most_bytes is not None:
         size = min(size, most_bytes * 8)
@@ -127,12 +129,12 @@ def ranges(sizes: list[int], most: int) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], len(sizes)], strict=True))
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(counts / CUTOFF) / math.log(BASE) + 1e-9).astype(np.int64)
+def levels(counts: np.ndarray, cutoff: int = CUTOFF) -> np.ndarray:
+    return 1 + np.floor(np.log(counts / cutoff) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-def least_count(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, np.ceil(CUTOFF * BASE ** (np.maximum(level, 1) - 1) - 1e-6), 0.0)
+def least_count(level: np.ndarray, cutoff: int = CUTOFF) -> np.ndarray:
+    return np.where(level > 0, np.ceil(cutoff * BASE ** (np.maximum(level, 1) - 1) - 1e-6), 0.0)
 
 
 def positions(hashes: np.ndarray, level: int, size: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
@@ -173,7 +175,7 @@ class Filter:
         return out
 
 
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", cutoff: int = CUTOFF) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -236,7 +238,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
                 put(bucket, 1, g, x[total > 0].tobytes(), _small(total[total > 0]).tobytes(), 0, 0)
             put(bucket, 0, -1, b"", b"", int(c.sum()), int((c > 0).sum()))
         else:
-            put(bucket, 2, -1, segment(tb.mix64(h.astype(np.uint64)), c), b"", 0, 0)
+            put(bucket, 2, -1, segment(tb.mix64(h.astype(np.uint64)), c, cutoff=cutoff), b"", 0, 0)
         types = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 2
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
@@ -261,7 +263,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         for r in segments.where(F.col("bucket").between(lo, hi - 1)).select("bucket", "hashes").toLocalIterator():
             parts[r.bucket - lo] = bytes(r.hashes)
         shared = sc.broadcast(Filter(parts))
-        return both.mapInArrow(judge(shared, lo, hi, n, v, shift), result), shared
+        return both.mapInArrow(judge(shared, lo, hi, n, v, shift, cutoff), result), shared
 
     if len(spans) == 1:
         scored = judged(*spans[0])[0]
@@ -277,7 +279,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     return scored.drop("row").withColumnRenamed("id", id_col)
 
 
-def judge(shared: Broadcast, lo: int, hi: int, n: int, v: int, shift: np.uint64) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def judge(shared: Broadcast, lo: int, hi: int, n: int, v: int, shift: np.uint64, cutoff: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Scores documents, which follow the answers to their group; only bigrams of buckets lo to hi - 1 count in ``score``."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +315,7 @@ def judge(shared: Broadcast, lo: int, hi: int, n: int, v: int, shift: np.uint64)
                     bucket = (pair >> shift).astype(np.int64)
                     here = np.flatnonzero((bucket >= lo) & (bucket < hi))
                     level = filt.level(bucket[here] - lo, tb.mix64(remainder(pair[here], shift)))
-                    p = LAMBDA * least_count(level) / np.maximum(before[here], 1) + (1 - LAMBDA) * 10 ** base[here]
+                    p = LAMBDA * least_count(level, cutoff) / np.maximum(before[here], 1) + (1 - LAMBDA) * 10 ** base[here]
                     own_score = np.zeros(len(seq))
                     own_score[here] = np.log10(np.minimum(p, 1.0))
                     yield pa.RecordBatch.from_arrays(

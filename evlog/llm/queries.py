@@ -33,7 +33,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), held_out)
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), held_out, cutoff=1)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

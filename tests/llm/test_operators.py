@@ -139,6 +139,17 @@ def test_4_filter_keeps_its_bits_at_every_size(docs, rows, monkeypatch):
     assert lm_scoring.ranges([3, 3, 9, 1, 1], 6) == [(0, 2), (2, 3), (3, 5)]
 
 
+def test_4_the_query_keeps_bigrams_seen_once(spark, tmp_path):
+    from evlog.llm.queries import QUERIES
+
+    rows = [(i, f"w{i} x{i} y{i}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op4_lm_scoring"](spark, str(tmp_path)).where("not held_out").collect()
+    for r in got:  # each word and each bigram inside a text stands once: p = 0.25 * 1 / 1 + 0.75 * p1
+        inner = math.log10(0.25 + 0.75 * 2 / (r.train_tokens + 3 * len(got) + 2))
+        assert r.score >= r.base_score + 4 * math.log10(0.75) - 1e-9 and r.score > 2 * inner + 2 * math.log10(0.75 / (r.train_tokens + 3 * len(got) + 2))
+
+
 def test_4_a_full_segment_ends():
     f = lm_scoring.Filter([b"\xff" * 8 + b"\x03"])
     assert f.level(np.zeros(5, np.int64), np.arange(5).astype(np.uint64)).tolist() == [3] * 5
