@@ -11,7 +11,8 @@ more passes over a written table with row numbers, whose spans meet by row.
 
 Defined cases: null or empty text has no words and is not hit; an item without
 words is skipped; an item shorter than the window is one window of its own
-length; repeated documents or items count each for itself; an empty benchmark
+length; items with a null id are one item, which counts in n_hit and n_items and
+is left out of items_sha256; repeated documents or items count each for itself; an empty benchmark
 hits nothing; an empty table gives an empty result.
 """
 
@@ -115,12 +116,12 @@ def _merge(start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int]]:
     return start[new].tolist(), end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)].tolist()
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list[str], list[str]]]:
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list[str | None], list[str]]]:
     """(ids as strings, texts) of the items, at most about ``block_bytes`` of text at once on the driver."""
     ids: list[str] = []
     texts: list[str] = []
     size = 0
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null and i is not null")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     for row in rows.toLocalIterator():
         ids.append(row.i)
         texts.append(row.t)
@@ -132,7 +133,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
         yield ids, texts
 
 
-def matches(docs: DataFrame, ids: list[str], texts: list[str], window: int) -> DataFrame:
+def matches(docs: DataFrame, ids: list[str | None], texts: list[str], window: int) -> DataFrame:
     """Per row of (row, id, text): n_words, merged hit spans (first word, end word) and the ids of the items found."""
     kind = docs.schema["id"].dataType.simpleString()
     schema = f"row bigint, id {kind}, n_words bigint, span_from array<bigint>, span_to array<bigint>, items array<string>"
@@ -153,7 +154,7 @@ def matches(docs: DataFrame, ids: list[str], texts: list[str], window: int) -> D
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     d = int(doc[a])
                     froms[d], tos[d] = _merge(at[a:b] - first[d], at[a:b] - first[d] + tests.length[test[a:b]])
-                    items[d] = sorted({ids[k] for k in np.unique(tests.item[test[a:b]])})
+                    items[d] = sorted({ids[k] for k in np.unique(tests.item[test[a:b]])}, key=lambda x: (x is None, x or ""))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row").slice(i, j - i), batch.column("id").slice(i, j - i), pa.array(np.diff(first)), *(pa.array(x, pa.list_(pa.int64())) for x in (froms, tos)), pa.array(items, pa.list_(pa.string()))],
                     ["row", "id", "n_words", "span_from", "span_to", "items"],

@@ -240,6 +240,18 @@ def test_7_blocks_keep_every_row(spark):
         assert sorted(map(tuple, got.collect()), key=str) == want, block
 
 
+def test_7_null_item_ids_are_searched(spark):
+    import hashlib
+
+    a, b = "one two three four five six seven eight nine ten", "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(1, f"{a} {b}"), (2, b), (3, "other")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, a), (None, b), (None, b)], "item_id bigint, text string")
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = [(1, 20, 20, 2, digest("7"), True), (2, 10, 10, 1, digest(""), True), (3, 1, 0, 0, digest(""), False)]
+    for block in (1 << 20, 10):
+        assert sorted(map(tuple, decontaminate.decontaminate(docs, bench, block_bytes=block).drop("longest_match").collect())) == want
+
+
 def test_8_packing(docs, rows, nothing, tokenizer):
     encoder = packing.Encoder(tokenizer)
     got: dict[int, list] = {}
