@@ -4,7 +4,7 @@ Each shard (a slice of documents) gets a suffix array over its words, cut at
 the window length and kept only for suffixes whose first two words begin some
 test window. Every test suffix is binary-searched in it, one word of depth at
 a time; the range that is left after ``window`` words holds all places of that
-window, so longest verbatim matches and their locations follow from the ranges.
+window. Longer matches show as unions of windows, which may join several items.
 A shard is searched where it is read: documents are not shuffled. The test
 items are sent to the workers in blocks of ``block_bytes``; more items mean
 more passes over a written table with row numbers, whose spans meet by row.
