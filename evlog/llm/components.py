@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evlog.llm.sparkio import checkpointed
-
-MAX_ROUNDS = 60
+from evlog.llm.sparkio import dropped, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,20 +17,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every id in ``edges`` (columns a, b): comp is the smallest id reachable.
 
     Hubs are handled by map-side minima and joins, never by gathering neighbours.
-    Each round is checkpointed in the shared folder, so a lost executor costs one round.
+    Each round is written to the shared folder, so a lost executor costs one round.
+    Rounds go on until nothing moves; their number grows with the logarithm of a path's length.
     """
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(now)
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        old, now = now, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        dropped(old)
         if (new := _state(now)) == state:
             break
         state = new
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import os
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,37 +20,43 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+_FOLDERS: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """Results are lazy, so what they read stays until the application ends; then its folder goes."""
+    for path, spark in _FOLDERS.items():
+        with suppress(Exception):  # the session may have ended already
+            _delete(spark, path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    path = f"{shared_dir(spark).rstrip('/')}/evlog-{spark.sparkContext.applicationId}"
+    _FOLDERS.setdefault(path, spark)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back; smaller than a checkpoint."""
+    """``df`` written to the shared folder as Parquet and read back: cuts its lineage, and a lost executor loses none of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/evlog-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def dropped(*frames: DataFrame) -> None:
     """Delete what ``stored`` wrote for these frames; call it when nothing reads them any more."""
     for df in frames:
-        spark = df.sparkSession
-        for path in {os.path.dirname(f) for f in df.inputFiles()}:
-            if "/evlog-" in path:
-                jvm = spark.sparkContext._jvm
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files that no frame needs any more; it acts on the driver's garbage collections."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        _delete(df.sparkSession, df._stored_at)
 
 
 def partitions(spark: SparkSession) -> int:
