@@ -1,33 +1,40 @@
 """Language ID (5): cross-parsing against suffix automata of labelled text.
 
 Training: a bounded sample of labelled texts per language (``SAMPLE_TEXTS``
-distinct texts of at most ``SAMPLE_CHARS`` characters each, chosen by a hash of
-the text) is joined and turned into a suffix automaton. Prediction: the text is
-parsed greedily into the longest phrases that occur in a language's sample;
-the language needing the fewest phrases, as a share of the text's length, wins
-(ties: the smaller language name). Every whole text is parsed, in blocks of
-``BLOCK`` characters that each start a phrase, so that very long texts are
-parsed beside each other. Prediction is a map over the documents.
+distinct whole texts, those of the smallest hashes among the texts of at most
+``SAMPLE_BYTES`` bytes; a language without such a text draws from all its
+texts) is joined and turned into a suffix automaton, on the driver, once. Its
+transitions are packed into a double array, whose size grows with the sample,
+not with the alphabet, and sent to the workers. Prediction: the text is parsed
+greedily into the longest phrases that occur in a language's sample; the
+language needing the fewest phrases wins (ties: the smaller language name).
+Prediction is a map over the documents.
+
+Every text is parsed as a whole. For speed, a long text is entered at each
+``BLOCK`` characters at once; a run goes on beyond its block until it starts a
+phrase where the run of a later block starts one too, from where both are the
+same, so that the count is that of one run from the beginning.
 
 Texts are compared in lower case, with each run of non-letters as one space.
 Defined cases: null text, or text without a letter, is ``und`` with score 0;
 with no labelled text at all every text is ``und``; rows without a language
-are predicted but not learnt from; repeated rows give repeated results.
+are predicted but not learnt from; repeated rows give repeated results; of
+columns that have a name of the results, the results stay.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_TEXTS = 96
-SAMPLE_CHARS = 600
+SAMPLE_TEXTS = 48
+SAMPLE_BYTES = 4096
 BLOCK = 2048
+#: Characters that are parsed beside each other.
+SLICE = 4 << 20
 UNDETERMINED = "und"
 
 
@@ -41,37 +48,82 @@ def normalise(text: str | None) -> str:
 _ASCII = {i: chr(i).lower() if chr(i).isalpha() else " " for i in range(128)}
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions (states x width, -1: none) of the automaton of all substrings of a sequence over 0 .. width - 1."""
-    size = 2 * len(codes) + 2
-    go = np.full((size, width), -1, dtype=np.int32)
-    link, length = [-1] * size, [0] * size
-    states, last = 1, 0
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The transitions of each state of the automaton of all substrings of a sequence."""
+    go: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
     for c in codes:
-        cur = states
-        states += 1
-        length[cur] = length[last] + 1
+        cur = len(go)
+        go.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
-        while p != -1 and go[p, c] < 0:
-            go[p, c] = cur
+        while p != -1 and c not in go[p]:
+            go[p][c] = cur
             p = link[p]
-        if p == -1:
-            link[cur] = 0
-        else:
-            q = int(go[p, c])
+        if p != -1:
+            q = go[p][c]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                clone = states
-                states += 1
-                length[clone], link[clone] = length[p] + 1, link[q]
-                go[clone] = go[q]
-                while p != -1 and go[p, c] == q:
-                    go[p, c] = clone
+                clone = len(go)
+                go.append(dict(go[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p != -1 and go[p].get(c) == q:
+                    go[p][c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return go[:states].copy()
+    return go
+
+
+class Packed:
+    """An automaton as a double array: the transition of ``state`` by ``c`` is at ``base[state] + c`` if ``own`` there is the state."""
+
+    def __init__(self, go: list[dict[int, int]], width: int):
+        edges = sum(map(len, go))
+        size = 2 * edges + 2 * width + 4096
+        taken = np.zeros(size, dtype=bool)
+        self.base, self.own, self.to = np.zeros(len(go), np.int32), np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        at = 0  # where the search for room begins
+        for s in sorted((s for s in range(len(go)) if len(go[s]) > 1), key=lambda s: -len(go[s])):
+            cs = list(go[s])
+            start = at
+            while True:
+                if start + 256 + width > len(taken):
+                    more = len(taken)
+                    taken = np.append(taken, np.zeros(more, bool))
+                    self.own, self.to = np.append(self.own, np.full(more, -1, np.int32)), np.append(self.to, np.zeros(more, np.int32))
+                full = taken[start + cs[0] : start + cs[0] + 256].copy()
+                for c in cs[1:]:
+                    full |= taken[start + c : start + c + 256]
+                if not full.all():
+                    break
+                start += 256
+            b = start + int(full.argmin())
+            self.base[s] = b
+            for c, t in go[s].items():
+                taken[b + c], self.own[b + c], self.to[b + c] = True, s, t
+            at = max(at, b - 2 * width)  # gaps that stay behind are for the states with one transition
+        single = np.array([s for s in range(len(go)) if len(go[s]) == 1], dtype=np.int64)
+        free = np.flatnonzero(~taken[width:])[: len(single)] + width
+        assert len(free) == len(single)
+        c = np.array([next(iter(go[s])) for s in single.tolist()], dtype=np.int64)
+        self.base[single] = free - c
+        self.own[free], self.to[free] = single, [go[s][k] for s, k in zip(single.tolist(), c.tolist(), strict=True)]
+        last = int(self.base.max(initial=0)) + width
+        self.own, self.to = self.own[:last].copy(), self.to[:last].copy()
+        self.root = np.array([go[0].get(c, 0) for c in range(width)], dtype=np.int32)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether a phrase starts with c). A letter that no sample has is a phrase of its own."""
+        at = self.base[state] + c
+        nxt, miss = self.to[at], self.own[at] != state
+        new = miss | (state == 0)
+        gone = np.flatnonzero(miss)
+        nxt[gone] = self.root[c[gone]]
+        return nxt, new
 
 
 class Model:
@@ -82,7 +134,7 @@ class Model:
         texts = {k: [normalise(t) for t in v] for k, v in samples.items()}
         letters = sorted({c for v in texts.values() for t in v for c in t} | {" "})
         self.width = len(letters) + 2  # 0: unknown; the last: between texts
-        self.code = np.zeros(max(map(ord, letters)) + 1, dtype=np.uint8 if self.width < 256 else np.uint16)
+        self.code = np.zeros(max(map(ord, letters)) + 1, dtype=np.int32)
         for i, c in enumerate(letters, 1):
             self.code[ord(c)] = i
         self.tables = []
@@ -90,7 +142,7 @@ class Model:
             codes: list[int] = []
             for t in texts[k]:
                 codes += [*self.encode(t).tolist(), self.width - 1]
-            self.tables.append(suffix_automaton(codes, self.width).ravel())
+            self.tables.append(Packed(suffix_automaton(codes), self.width))
 
     def encode(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -98,39 +150,67 @@ class Model:
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each normalised text in each language (texts x languages)."""
-        blocks, owner = [], []
-        for i, t in enumerate(texts):
-            codes = self.encode(t)
-            for at in range(0, len(codes), BLOCK):
-                blocks.append(codes[at : at + BLOCK])
-                owner.append(i)
         out = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
-        if not blocks:
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        if not sizes.any():
             return out
-        sizes = np.array([len(b) for b in blocks])
-        order = np.argsort(-sizes, kind="stable")
-        sizes = sizes[order]
-        grid = np.zeros((int(sizes[0]), len(blocks)), dtype=np.int32)
-        for col, k in enumerate(order):
-            grid[: sizes[col], col] = blocks[k]
-        alive = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")  # blocks longer than each step
-        owner = np.array(owner)[order]
+        flat = self.encode("".join(texts))
+        ends = np.cumsum(sizes)
+        blocks = -(-sizes // BLOCK)
+        owner = np.repeat(np.arange(len(texts)), blocks)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        start = (ends - sizes)[owner] + nth * BLOCK
+        size = np.minimum(BLOCK, ends[owner] - start)
+        order = np.argsort(-size, kind="stable")
+        start_, size_ = start[order], size[order]
+        several = blocks[owner] > 1
+        kept = np.flatnonzero(several[order])  # columns whose phrase starts are noted
+        note = np.full(len(owner), -1)
+        note[order[kept]] = np.arange(len(kept))
+        alive = np.searchsorted(-size_, -np.arange(int(size_[0])), side="left")  # blocks longer than each step
+        noted = np.searchsorted(kept, alive)
+        far = np.flatnonzero(start + BLOCK < ends[owner])  # blocks that another one follows
+        place = np.empty(len(owner), np.int64)
+        place[order] = np.arange(len(owner))
         for lang, table in enumerate(self.tables):
-            state = np.zeros(len(blocks), dtype=np.int32)
-            count = np.ones(len(blocks), dtype=np.int64)
-            for step in range(len(grid)):
+            state = np.zeros(len(owner), dtype=np.int32)
+            count = np.zeros(len(owner), dtype=np.int64)
+            starts = np.zeros((len(alive), len(kept)), dtype=bool)
+            for step in range(len(alive)):
                 n = alive[step]
-                c = grid[step, :n]
-                nxt = table[state[:n] * self.width + c]
-                if step:
-                    count[:n] += (nxt < 0) | (state[:n] == 0)  # at the start again: the letter before was in no sample
-                at = np.flatnonzero(nxt < 0)
-                if len(at):
-                    nxt[at] = np.maximum(table[c[at]], 0)  # a letter that no sample has is a phrase of its own
-                state[:n] = nxt
-            np.add.at(out[:, lang], owner, count)
+                state[:n], new = table.step(state[:n], flat[start_[:n] + step])
+                count[:n] += new
+                if noted[step]:
+                    starts[step, : noted[step]] = new[kept[: noted[step]]]
+            own = count[place]
+            if len(far):
+                more, into, row = self._run_on(table, flat, starts, note, far, state[place[far]], start, ends[owner])
+                for i in np.flatnonzero(blocks > 1).tolist():
+                    b, entry, total = int(np.searchsorted(owner, i)), 0, 0
+                    while b >= 0:
+                        total += int(own[b]) - int(starts[:entry, note[b]].sum()) + int(more[b])
+                        b, entry = int(into[b]), int(row[b])
+                    out[i, lang] = total
+            single = ~several
+            out[owner[single], lang] = own[single]
         return out
 
+    @staticmethod
+    def _run_on(table: Packed, flat: np.ndarray, starts: np.ndarray, note: np.ndarray, live: np.ndarray, state: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each block: phrases begun beyond it until it meets a later run, that run's block (-1: the text ended) and place in it."""
+        more, into, row = np.zeros(len(start), np.int64), np.full(len(start), -1), np.zeros(len(start), np.int64)
+        step = BLOCK
+        while len(live):
+            state, new = table.step(state, flat[start[live] + step])
+            then = live + step // BLOCK
+            met = new & starts[step % BLOCK, note[then]]
+            more[live] += new & ~met
+            into[live[met]], row[live[met]] = then[met], step % BLOCK
+            step += 1
+            stay = ~met & (start[live] + step < end[live])
+            live, state = live[stay], state[stay]
+        return more, into, row
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """(language, score, phrases per character) of each text. Score: by how much the runner-up needs more phrases, 0 to 1."""
         norm = [normalise(t) for t in texts]
@@ -150,53 +230,46 @@ class Model:
         return langs, scores, rates
 
 
-def samples(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """At most ``texts`` distinct texts per language (their first ``chars`` characters), those of the smallest hashes.
+def samples(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, most: int = SAMPLE_BYTES) -> dict[str, list[str]]:
+    """At most ``texts`` distinct whole texts per language, those of the smallest hashes among texts of at most ``most`` bytes.
 
     A count per language gives a hash bound that lets about twice ``texts`` rows through, whatever the input's size.
     """
-    known = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("k"), F.col(text_col).cast("string").alias("t"), F.xxhash64(text_col).alias("h"))
-    counts = {r.k: r.n for r in known.groupBy("k").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    text = F.col(text_col).cast("string")
+    known = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("k"), text.alias("t"), F.xxhash64(text).alias("h"), (F.octet_length(text) <= most).alias("short"))
+    counts = known.groupBy("k").agg(F.approx_count_distinct(F.when(F.col("short"), F.col("h")), 0.02).alias("n"), F.approx_count_distinct("h", 0.02).alias("all")).collect()
     if not counts:
         return {}
     limit = F.lit(None).cast("bigint")
-    for k, n in sorted(counts.items()):
-        share = min(1.0, 2 * (texts + 4 * math.sqrt(texts)) / max(1, n))
-        limit = F.when(F.col("k") == k, F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)).otherwise(limit)
-    rows = known.where(F.col("h") <= limit).groupBy("k", "h").agg(F.first(F.substring("t", 1, chars)).alias("t")).collect()
-    out: dict[str, list[str]] = {k: [] for k in counts}
+    for r in sorted(counts):
+        share = min(1.0, 2 * (texts + 4 * math.sqrt(texts)) / max(1, r.n or r.all))
+        limit = F.when((F.col("k") == r.k) & (F.col("short") | F.lit(not r.n)), F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)).otherwise(limit)
+    rows = known.where(F.col("h") <= limit).groupBy("k", "h").agg(F.first("t").alias("t")).collect()
+    out: dict[str, list[str]] = {r.k: [] for r in counts}
     for r in sorted(rows, key=lambda r: (r.k, r.h, r.t)):
         if len(out[r.k]) < texts:
             out[r.k].append(r.t)
     return out
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def identify(docs: DataFrame, learned: dict[str, list[str]], text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and rate (phrases per character of the normalised text) added."""
-    token = hash(repr(sorted(learned.items())))
-
-    def model() -> Model:
-        if token not in _MODELS:
-            _MODELS.clear()
-            _MODELS[token] = Model(learned)
-        return _MODELS[token]
-
-    keep = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(Model(learned))  # some bytes for each character of the sample
 
     @F.pandas_udf("lang_pred string, score double, rate double")
     def predict(text):
         import pandas as pd
 
-        own, values = model(), [t if isinstance(t, str) else None for t in text]
+        own, values = shared.value, [t if isinstance(t, str) else None for t in text]
         parts, at, size = [], 0, 0
         for i, t in enumerate(values):
             size += len(t or "")
-            if size > 1 << 21 or i == len(values) - 1:
+            if size > SLICE or i == len(values) - 1:
                 parts.append(own.predict(values[at : i + 1]))
                 at, size = i + 1, 0
         return pd.DataFrame({name: [x for p in parts for x in p[k]] for k, name in enumerate(("lang_pred", "score", "rate"))})
 
-    return keep.withColumn("own", predict("text")).select("row.*", "own.*")
+    names = ("lang_pred", "score", "rate")
+    keep = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in names], F.lit(None).alias("_")).alias("row"), F.col(text_col).cast("string").alias("text"))
+    found = keep.withColumn("own", predict("text"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in names], "own.*")

@@ -39,6 +39,7 @@ from evlog.llm.sparkio import dropped, partitions, stored
 
 LENGTH = 200
 LEAD = 40
+RESULTS = ("n_bytes", "n_removed", "spans", "kept", "kept_sha256")
 #: Suffixes of a bucket, about.
 BUCKET = 50_000
 
@@ -226,9 +227,12 @@ def merge(runs: list[dict], size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, lead: int = LEAD) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, spans (start and end byte of each maximal removed run), kept (the remaining bytes) and kept_sha256 added."""
-    columns = docs.columns
+def dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH, lead: int = LEAD) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, spans (start and end byte of each maximal removed run), kept (the remaining bytes) and kept_sha256 added.
+
+    A column that has one of these names gives way.
+    """
+    columns = [c for c in docs.columns if c not in RESULTS]
     docs = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
     runs = repeated_runs(docs, "__row", text_col, length, lead).toDF("__id", "__runs")
     joined = docs.join(runs, docs["__row"] == runs["__id"], "left")
@@ -250,7 +254,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             rows.append((len(raw), len(raw) - len(left), [{"a": a, "b": b} for a, b in spans], left, hashlib.sha256(left).hexdigest()))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
 
-    return both.withColumn("own", cut("bytes", "runs")).select("row.*", "own.*")
+    found = both.withColumn("own", cut("bytes", "runs"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in columns], "own.*")
 
 
 def brute_force(rows: list[tuple], length: int = LENGTH) -> list[tuple]:

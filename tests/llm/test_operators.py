@@ -170,17 +170,49 @@ def test_5_language(docs, rows, nothing):
     assert language_id.identify(docs, {}).where("lang_pred <> 'und'").count() == 0
 
 
-def test_5_phrases_are_longest_matches():
-    model = language_id.Model({"a": ["abracadabra"], "b": ["banana"]})
-    for text in ("abrabanana", "cadab", "zzz", "b", "nanabraz"):
-        for k, source in enumerate(("abracadabra", "banana")):
+@pytest.mark.parametrize("block", [2048, 7, 3])
+def test_5_phrases_are_longest_matches(monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    rng = random.Random(block)
+    sources = {"a": ["abracadabra"], "b": ["banana"], "c": [language_id.normalise("".join(rng.choices("abc ", k=50))) for _ in range(3)]}
+    model = language_id.Model(sources)
+    texts = ["abrabanana", "cadab", "zzz", "b", "", "nanabraz", sources["c"][0] * 2, *("".join(rng.choices("abcz", k=rng.randint(0, 60))) for _ in range(60))]
+    for text, got in zip(texts, model.phrases(texts).tolist(), strict=True):
+        for k, own in enumerate(sources.values()):
             n, at = 0, 0
             while at < len(text):
                 j = at + 1
-                while j < len(text) and text[at : j + 1] in source:
+                while j < len(text) and any(text[at : j + 1] in source for source in own):
                     j += 1
                 at, n = j, n + 1
-            assert model.phrases([text])[0, k] == n, (text, source)
+            assert got[k] == n, (text, own)
+
+
+def test_5_predictions_against_plain_parsing(spark, docs, rows):
+    learned = language_id.samples(docs, F.col("doc_id") % 3 != 1)
+    want = {}
+    for i, text, *_ in rows:
+        t = language_id.normalise(text)
+        if len(t) < 3000:
+            counts = []
+            for k in sorted(learned):
+                own, n, at = "\n".join(language_id.normalise(x) for x in learned[k]), 0, 0
+                while at < len(t):
+                    j = at + 1
+                    while j < len(t) and t[at : j + 1] in own:
+                        j += 1
+                    at, n = j, n + 1
+                counts.append((n, k))
+            want[i] = min(counts)[1] if t else "und"
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, learned).collect()}
+    assert {i: got[i] for i in want} == want and len(want) > 40
+
+
+def test_5_samples_are_whole_texts(spark):
+    rows = [(i, ("ab " * i).strip(), "x") for i in range(1, 200)] + [(900 + i, "yz " * (2000 + i), "y") for i in range(3)]
+    got = language_id.samples(spark.createDataFrame(rows, "doc_id int, text string, lang string"), F.lit(True))
+    assert len(got["x"]) == language_id.SAMPLE_TEXTS and {*got["x"]} <= {r[1] for r in rows} and len(got["y"]) == 3
+    assert max(map(len, got["x"])) <= language_id.SAMPLE_BYTES and min(map(len, got["y"])) > language_id.SAMPLE_BYTES
 
 
 def test_6_ann(spark):
@@ -319,6 +351,15 @@ def test_9_near_dedup(docs, rows, nothing):
     assert near_dedup.near_duplicates(nothing).collect() == []
 
 
+def test_9_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{w}{k}" for k in range(80)) for w in ("x", "y", "z"))
+    near = lambda t: t.replace("40", "other")
+    rows = [(None, a), (5, near(a)), (None, near(a)), (3, b), (3, c), (9, near(c)), (None, "lone words of nobody"), (None, None), (3, b)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=3, threshold=(85, 100)).collect()
+    want = [(None, 78, 5, False), (5, 78, 5, True), (None, 78, 5, False), (3, 78, 3, True), (3, 78, 3, True), (9, 78, 3, False), (None, 2, None, True), (None, 0, None, True), (3, 78, 3, True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_9_large_group_and_chain(spark):
     rng = random.Random(8)
     base = [f"w{rng.randint(0, 5000)}" for _ in range(150)]

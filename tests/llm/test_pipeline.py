@@ -95,3 +95,15 @@ def test_rows_of_one_id_are_documents_of_their_own(spark, tmp_path):
     own = [(i, t) for i, t in texts if t != base[2]]
     got = suffix_dedup.dedup(docs.where(f"text is null or text <> '{base[2]}'")).selectExpr("doc_id", "n_bytes", "n_removed", "size(spans)", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == sorted(suffix_dedup.brute_force(own), key=str)
+
+
+def test_extra_columns_may_clash(spark, tmp_path):
+    names = "score lang_pred rate kept n_bytes n_removed spans kept_sha256 doc row id component_id n_hit item_id".split()
+    long = " ".join(f"w{k}" for k in range(90))
+    rows = [(1, long + " one", "en", "s", len(long) + 4, *names), (2, long + " " + " ".join(f"v{k}" for k in range(90)), "en", "s", 5, *names), (3, "another text", "en", "s", 12, *names)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(1, "none of it")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [tuple(r)[5:] for r in out.collect()] == [tuple(names)] * 3
+    assert cp.packing_stage(spark, docs, "").count() >= 3
