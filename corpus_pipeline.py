@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from evlog.llm import decontaminate, language_id, near_dedup, packing, suffix_dedup
 from evlog.llm.queries import tokenizer_path
-from evlog.llm.sparkio import stored, table
+from evlog.llm.sparkio import dropped, stored, table
 
 #: Ids sent to all workers at most; beyond it, joins shuffle.
 BROADCAST_IDS = 400_000
@@ -40,8 +40,8 @@ def _by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be recognised (no text, or no letter in it) go."""
     learned = language_id.samples(docs, F.lit(True))
-    found = language_id.identify(docs, learned)
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    found = language_id.identify(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text")), learned)
+    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select("doc.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +64,11 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     def decoded(data):
         return data.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    cut = suffix_dedup.dedup(docs)
-    text = F.when(F.col("n_removed") > 0, decoded("kept")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = suffix_dedup.dedup(docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), F.col("text")))
+    changed = F.col("n_removed") > 0
+    cut = cut.select("doc", "n_removed", F.when(changed, decoded("kept")).otherwise(F.col("text")).alias("text"))
+    size = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return cut.select(*[F.col("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -93,7 +95,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder before the next stage."""
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        dropped(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
