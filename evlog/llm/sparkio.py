@@ -20,9 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, where the session sets no other.
+BATCH_BYTES = 8 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _FOLDERS: dict[str, SparkSession] = {}
 
 
+def sized(spark: SparkSession) -> None:
+    """Batches of texts are small in bytes: both sides of a Python worker hold several at once."""
+    if spark.conf.get(_BATCHES) == "67108864b":  # Spark's own default
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -46,6 +55,7 @@ def scratch(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back: cuts its lineage, and a lost executor loses none of it."""
     spark = df.sparkSession
+    sized(spark)
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -64,4 +74,5 @@ def partitions(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sized(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
