@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ Scalar = str | int | float | bool
 
 
 def check_key(key: str) -> str:
-    if not key or '"' in key or "'" in key or "\\" in key:
+    if not isinstance(key, str) or not key or '"' in key:
         raise Validation(f"meta key {key!r} can't be filtered on")
     return key
 
@@ -23,7 +24,7 @@ def check_value(value: object) -> Scalar:
 
 
 def json_value(column: Column, key: str) -> Column:
-    return F.try_variant_get(F.parse_json(column), f"$['{check_key(key)}']", "variant")
+    return F.try_variant_get(F.parse_json(column), f'$["{check_key(key)}"]', "variant")
 
 
 def meta_equals(column: Column, key: str, value: Scalar) -> Column:
@@ -54,6 +55,38 @@ def meta_equals_value(meta: dict, key: str, value: Scalar) -> bool:
     return have == value  # True == 1 and 40 == 40.0, as above
 
 
+def index_columns(key: str) -> tuple[str, str]:
+    """Names of the columns that an indexed key has in a segment: its strings, and its numbers and booleans as doubles."""
+    name = check_key(key).encode().hex()
+    return f"_s_{name}", f"_n_{name}"
+
+
+def index_values(column: Column, key: str) -> dict[str, Column]:
+    """The same columns as expressions over stored rows."""
+    v = json_value(column, key)
+    kind = F.schema_of_variant(v)
+    text, number = index_columns(key)
+    get = lambda t: F.try_variant_get(v, "$", t)
+    return {text: F.when(kind == "STRING", get("string")), number: F.when(kind == "BOOLEAN", get("boolean").cast("double")).when(kind != "STRING", get("double"))}
+
+
+def indexed_table(table: pa.Table, key: str) -> pa.Table:
+    """The same for a table on the driver."""
+    import json
+
+    values = [json.loads(m).get(key) for m in table.column("meta").to_pylist()]
+    text, number = index_columns(key)
+    strings = [v if isinstance(v, str) else None for v in values]
+    numbers = [float(v) if isinstance(v, int | float) and abs(v) < 1.7e308 else None for v in values]
+    return table.append_column(text, pa.array(strings, pa.string())).append_column(number, pa.array(numbers, pa.float64()))
+
+
+def index_key(key: str, value: Scalar) -> tuple[str, str | float]:
+    """(column, value) that rows equal to the value have; the typed test still follows."""
+    text, number = index_columns(key)
+    return (text, value) if isinstance(value, str) else (number, float(value))
+
+
 def register(spark: SparkSession) -> None:
     """SQL: json_extract(column, path) as text, scalars bare; a SQL function, so that it stays in the plan."""
     spark.sql("create or replace temporary function json_extract(doc string, path string) returns string return get_json_object(doc, path)")

@@ -10,27 +10,32 @@ import threading
 import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from evlog import envelope, hatch, retention, trace, transfer
 from evlog.errors import EvlogError, StorageError, Validation
-from evlog.functions.json_meta import check_key, json_value
+from evlog.functions.json_meta import check_key, index_columns, index_key, index_values
 from evlog.functions.prefix import stream_prefix_bound
 from evlog.operators.filters import Filter
 from evlog.operators.upcast import Upcaster, apply_chain, apply_frames
 from evlog.plans import coordinates
 from evlog.schema import CHECKPOINTS_SCHEMA, COLUMNS, I64_MAX, LEDGER_SCHEMA, LOG_SCHEMA, RECEIPTS_SCHEMA, STREAMS_SCHEMA, check_u63
-from evlog.store.manifest import Manifest, State, retrying
+from evlog.store.manifest import Manifest, Segment, State, retrying
 from evlog.txn import Committed, Transaction
 
 PAGE = 256
+#: Attempts of a bulk append to number its rows without the writer lock.
+OPTIMISTIC = 2
 #: Scans of at most so many stored rows are done on the driver, without a Spark job.
 DRIVER_ROWS = 100_000
 
@@ -146,26 +151,48 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
             except EvlogError:
                 trace.LOGGER.warning("evlog.append detached write failed", extra={"span": "evlog.append", "fields": {"stream": item[0]}})
 
+    def index_keys(self, state: State) -> list[str]:
+        """Keys that new segments get columns for."""
+        return [*state.meta_keys, *(k for k in self.options.unique_meta if k not in state.meta_keys)]
+
     def _check_unique(self, state: State, rows: list[dict[str, Any]]) -> None:
+        """Against the key's own column where a segment has it: nothing else of the segment is read."""
         for key in self.options.unique_meta:
             new = [v for r in rows if (v := envelope.from_row(r)["meta"].get(key)) is not None]
-            if len(new) != len(set(map(str, new))):
+            text, number = index_columns(key)
+            strings, numbers = {v for v in new if isinstance(v, str)}, {float(v) for v in new if not isinstance(v, str)}
+            if len(new) != len(strings) + len(numbers):
                 raise Validation(f"meta.{key} repeats in the batch")
-            if new and state.segments:
-                old = self._frame(state).select(json_value(F.col("meta"), key).cast("string").alias("v"))
-                if old.where(F.col("v").isin([str(v).lower() if isinstance(v, bool) else str(v) for v in new])).limit(1).count():
+            if not new:
+                continue
+            own = [s for s in state.segments.values() if s.keys and key in s.keys]
+            want = ds.field(text).isin(pa.array(sorted(strings), pa.string())) | ds.field(number).isin(pa.array(sorted(numbers), pa.float64()))
+            if own and ds.dataset([self.manifest.check(s) for s in own], format="parquet").scanner(columns=[text], filter=want).head(1).num_rows:
+                raise Validation(f"meta.{key} is in the log already")
+            rest = [self.manifest.check(s) for s in state.segments.values() if not (s.keys and key in s.keys)]
+            if rest:
+                old = self.spark.read.schema(LOG_SCHEMA).parquet(*rest).select(*[c.alias(n) for n, c in index_values(F.col("meta"), key).items()])
+                if old.where(F.col(text).isin(sorted(strings)) | F.col(number).isin(sorted(numbers))).limit(1).count():
                     raise Validation(f"meta.{key} is in the log already")
 
     def append_frame(self, df: DataFrame, order: Sequence[str]) -> tuple[int, int | None, int | None]:
-        """Bulk append of (stream, epoch_ms, kind, schema_version, meta, data) rows in the given order: (rows, first, last position)."""
-        with trace.span("append"), self.manifest.writing() as state:
-            m = self.manifest
-            stage = m.path("tmp", uuid.uuid4().hex)
-            parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-            body = df.withColumns({"meta": F.coalesce("meta", F.lit("{}")), "data": F.coalesce("data", F.lit("{}")), "schema_version": F.coalesce("schema_version", F.lit(envelope.DEFAULT_VERSION)).cast("bigint")})
-            bad = F.col("stream").isNull() | (F.col("stream") == "") | F.col("kind").isNull() | (F.col("kind") == "") | F.col("epoch_ms").isNull() | (F.col("epoch_ms") < 0)
-            for c in ("meta", "data"):
-                bad = bad | F.coalesce(~F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(True))
+        """Bulk append of (stream, epoch_ms, kind, schema_version, meta, data) rows in the given order: (rows, first, last position).
+
+        The Spark jobs run without the writer lock; it is taken to publish, if nobody wrote in between.
+        After ``OPTIMISTIC`` attempts the rows are numbered under the lock.
+        """
+        n, first, last, _ = self._append_frame(df, order, None)
+        return n, first, last
+
+    def _append_frame(self, df: DataFrame, order: Sequence[str], witness: Column | None) -> tuple[int, int | None, int | None, bool]:
+        m = self.manifest
+        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        body = df.withColumns({"meta": F.coalesce("meta", F.lit("{}")), "data": F.coalesce("data", F.lit("{}")), "schema_version": F.coalesce("schema_version", F.lit(envelope.DEFAULT_VERSION)).cast("bigint")})
+        bad = F.col("stream").isNull() | (F.col("stream") == "") | F.col("kind").isNull() | (F.col("kind") == "") | F.col("epoch_ms").isNull() | (F.col("epoch_ms") < 0)
+        for c in ("meta", "data"):
+            bad = bad | F.coalesce(~F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(True))
+        stage = m.path("tmp", uuid.uuid4().hex)
+        with trace.span("append"):
             try:
                 coordinates.ordered(body.withColumn("_bad", bad), order, parts).write.parquet(stage)
                 staged = self.spark.read.parquet(stage)
@@ -173,19 +200,37 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
                 if wrong:
                     raise Validation(f"{wrong} rows are no events")
                 if not n:
-                    return 0, None, None
-                out = coordinates.assign(staged, state.next_position - 1, self._counters(state)).select(*[F.col(c).cast(LOG_SCHEMA[c].dataType) for c in COLUMNS])
-                name, counted = f"segments/{uuid.uuid4().hex}", f"counters/{uuid.uuid4().hex}"
-                out.repartitionByRange(parts, "position").sortWithinPartitions("position").write.parquet(m.path(name))
-                self.spark.read.parquet(m.path(name)).groupBy("stream").agg((F.max("seq") + 1).alias("next_seq")).write.parquet(m.path(counted))
+                    return 0, None, None, True
+                for attempt in range(OPTIMISTIC + 1):
+                    held = m.writing() if attempt == OPTIMISTIC else nullcontext(m.refresh())
+                    with held as state:
+                        commit, same = self._numbered(staged, state, n, parts, witness)
+                        with m.writing() as now:
+                            if now.n == state.n:
+                                m.publish(commit)
+                                return n, state.next_position, state.next_position + n - 1, same
             finally:
                 shutil.rmtree(stage, ignore_errors=True)
-            add = [m.describe(f"{name}/{f}") for f in sorted(os.listdir(m.path(name))) if f.endswith(".parquet")]
-            first, last = state.next_position, state.next_position + n - 1
-            known = [s for s in state.stream_seq]
-            touched = {r.stream: r.next_seq for r in self.spark.read.parquet(m.path(counted)).where(F.col("stream").isin(known)).collect()} if known else {}
-            m.publish({"add": [a for a in add if a["rows"]], "next_position": last + 1, "counters": [*state.counters, counted], "stream_seq": touched})
-            return n, first, last
+        raise StorageError("the rows could not be published")
+
+    def _numbered(self, staged: DataFrame, state: State, n: int, parts: int, witness: Column | None) -> tuple[dict[str, Any], bool]:
+        """The commit that appends the staged rows to this state, and whether all landed on the coordinates they came with."""
+        m, keys = self.manifest, self.index_keys(state)
+        out = coordinates.assign(staged, state.next_position - 1, self._counters(state))
+        name, counted = f"segments/{uuid.uuid4().hex}", f"counters/{uuid.uuid4().hex}"
+        came = {} if witness is None else {"_same": witness}
+        more = {c: v for k in keys for c, v in index_values(F.col("meta"), k).items()}
+        out = out.withColumns(more | came).select(*[F.col(c).cast(LOG_SCHEMA[c].dataType) for c in COLUMNS], *more, *came)
+        out.repartitionByRange(parts, "position").sortWithinPartitions("position").write.parquet(m.path(name))
+        written = self.spark.read.parquet(m.path(name))
+        written.groupBy("stream").agg((F.max("seq") + 1).alias("next_seq")).write.parquet(m.path(counted))
+        add = m.described(self.spark, name, keys)
+        touched = {}
+        if state.stream_seq:  # streams that were written one by one
+            known = self.spark.createDataFrame([(s,) for s in state.stream_seq], "stream string")
+            touched = {r.stream: r.next_seq for r in self.spark.read.parquet(m.path(counted)).join(known, "stream", "left_semi").collect()}
+        same = True if witness is None else bool(written.agg(F.coalesce(F.bool_and("_same"), F.lit(True))).first()[0])
+        return {"add": add, "next_position": state.next_position + n, "counters": [*state.counters, counted], "stream_seq": touched}, same
 
     def _counters(self, state: State) -> DataFrame | None:
         frames = [self.spark.read.parquet(self.manifest.path(p)) for p in state.counters]
@@ -200,17 +245,28 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
 
     # scanning
 
-    def _paths(self, state: State, above: int = 0, streams: frozenset[str] | None = None, kinds: frozenset[str] | None = None) -> list[str]:
-        """Segments that can hold what is asked for, by their position range and names."""
+    def _segments(self, state: State, above: int = 0, streams: frozenset[str] | None = None, kinds: frozenset[str] | None = None) -> list[Segment]:
+        """Segments that can hold what is asked for, by their position range and names, in order."""
         return [
-            self.manifest.check(s)
+            s
             for s in sorted(state.segments.values(), key=lambda s: s.min_position)
             if s.max_position > above and (streams is None or s.streams is None or streams.intersection(s.streams)) and (kinds is None or s.kinds is None or kinds.intersection(s.kinds))
         ]
 
     def _frame(self, state: State, above: int = 0, f: Filter = Filter()) -> DataFrame:
-        paths = self._paths(state, above, f.streams_, f.kinds_)
-        return self.spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], LOG_SCHEMA)
+        """The candidate segments' rows. A filter on an indexed key reaches the scan of the segments that have its column."""
+        segments = self._segments(state, above, f.streams_, f.kinds_)
+        key = next((k for k, _ in f.meta_ if k in state.meta_keys), None)
+        own = [s for s in segments if key is not None and s.keys and key in s.keys]
+        rest = [s for s in segments if s not in own] if own else segments
+        frames = []
+        if own:
+            column, value = index_key(key, dict(f.meta_)[key])
+            schema = StructType([*LOG_SCHEMA.fields, StructField(column, StringType() if isinstance(value, str) else DoubleType())])
+            frames.append(self.spark.read.schema(schema).parquet(*map(self.manifest.check, own)).where(F.col(column) == value).select(*COLUMNS))
+        if rest:
+            frames.append(self.spark.read.schema(LOG_SCHEMA).parquet(*map(self.manifest.check, rest)))
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], LOG_SCHEMA)
 
     def stored(self, from_: int = 0, f: Filter = Filter(), state: State | None = None) -> DataFrame:
         """Stored rows after a position, unordered, before upcasting."""
@@ -227,31 +283,41 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
             df = df.orderBy("position").limit(limit)
         return apply_frames(self.upcasters, df)
 
-    def _rows(self, state: State, from_: int, f: Filter, limit: int | None) -> list[dict[str, Any]]:
-        """Stored rows in order; small reads stay on the driver."""
+    def _rows(self, state: State, from_: int, f: Filter, limit: int | None, from_seq: int = 0, last: bool = False) -> list[dict[str, Any]]:
+        """Stored rows in order, the first ``limit`` or the last; small reads stay on the driver.
+
+        A limited read opens segments from its end of the log on until it has enough.
+        """
         if limit == 0 or f.selects_nothing:
             return []
         f.validate()
         check_u63(from_, "position")
-        rows = sum(s.rows for s in state.segments.values() if s.max_position > from_)
-        if rows > DRIVER_ROWS:
-            df = self.stored(from_, f, state).orderBy("position")
-            return [r.asDict() for r in (df.limit(limit) if limit is not None else df).collect()]
-        paths = self._paths(state, from_, f.streams_, f.kinds_)
-        if not paths:
-            return []
+        segments = self._segments(state, from_, f.streams_, f.kinds_)
+        if sum(s.rows for s in segments) > DRIVER_ROWS and (limit is None or not f.whole):
+            df = self.stored(from_, f, state)
+            df = (df.where(F.col("seq") >= from_seq) if from_seq else df).orderBy(F.desc("position") if last else "position")
+            rows = [r.asDict() for r in (df.limit(limit) if limit is not None else df).collect()]
+            return rows[::-1] if last else rows
         want = ds.field("position") > from_
+        if from_seq:
+            want &= ds.field("seq") >= from_seq
         if f.kinds_ is not None:
             want &= ds.field("kind").isin(sorted(f.kinds_))
         if f.streams_ is not None:
             want &= ds.field("stream").isin(sorted(f.streams_))
         if f.prefix_:
             want &= pc.starts_with(ds.field("stream"), f.prefix_)
-        out = ds.dataset(paths, format="parquet").to_table(columns=COLUMNS, filter=want).sort_by("position")
-        if f.meta_:
-            found = [r for r in out.to_pylist() if f.matches(r["stream"], r["kind"], envelope.from_row(r)["meta"])]
-            return found[:limit]
-        return out.slice(0, limit).to_pylist() if limit is not None else out.to_pylist()
+        out: list[dict[str, Any]] = []
+        for group in _groups(sorted(segments, key=lambda s: -s.max_position) if last else segments, None if limit is None else 4 * limit + 1024):
+            found = ds.dataset([self.manifest.check(s) for s in group], format="parquet").to_table(columns=COLUMNS, filter=want).sort_by("position")
+            if limit is not None and not f.meta_:
+                need = limit - len(out)
+                found = found.slice(max(0, len(found) - need)) if last else found.slice(0, need)
+            rows = [r for r in found.to_pylist() if not f.meta_ or f.matches(r["stream"], r["kind"], envelope.from_row(r)["meta"])]
+            out = rows + out if last else out + rows
+            if limit is not None and len(out) >= limit:
+                return out[-limit:] if last else out[:limit]
+        return out
 
     def _recorded(self, rows: Iterable[dict[str, Any]]) -> list[Recorded]:
         return [Recorded(r["position"], r["stream"], apply_chain(self.upcasters, envelope.from_row(r))) for r in rows]
@@ -260,19 +326,27 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
         """Events after a position (exclusive), in order, filtered as stored, in their current shape."""
         return self._recorded(self._rows(self.manifest.refresh(), from_, f, limit))
 
-    def _read_stream(self, state: State, stream: str, f: Filter, from_seq: int, limit: int | None) -> list[dict[str, Any]]:
+    def _read_stream(self, state: State, stream: str, f: Filter, from_seq: int, limit: int | None, last: bool = False) -> list[dict[str, Any]]:
         if limit == 0 or f.selects_nothing:
             return []
         check_u63(from_seq, "seq")
-        rows = [r for r in self._rows(state, 0, f.stream(stream), None) if r["seq"] >= from_seq]
-        return [apply_chain(self.upcasters, envelope.from_row(r)) for r in sorted(rows, key=lambda r: r["seq"])[:limit]]
-
-    def _stream_rows(self, state: State, stream: str) -> tuple[int | None, int]:
-        paths = self._paths(state, 0, frozenset([stream]))
-        if not paths:
-            return None, 0
-        seqs = ds.dataset(paths, format="parquet").to_table(columns=["seq"], filter=ds.field("stream") == stream).column("seq")
-        return pc.max(seqs).as_py(), len(seqs)
+        rows = self._rows(state, 0, f.stream(stream), limit, from_seq, last)
+        return [apply_chain(self.upcasters, envelope.from_row(r)) for r in rows]
+
+    def _stream_head(self, state: State, stream: str) -> int | None:
+        """The stream's greatest stored number: its counter's last, unless something was removed."""
+        if not state.retention:
+            return self.manifest.next_seq(state, stream) - 1 or None
+        rows = self._rows(state, 0, Filter().stream(stream), 1, last=True)
+        return rows[0]["seq"] if rows else None
+
+    def _stream_len(self, state: State, stream: str) -> int:
+        if not state.retention:
+            return self.manifest.next_seq(state, stream) - 1
+        segments = self._segments(state, 0, frozenset([stream]))
+        if sum(s.rows for s in segments) > DRIVER_ROWS:
+            return self._frame(state, 0, Filter().stream(stream)).where(F.col("stream") == stream).count()
+        return ds.dataset([self.manifest.check(s) for s in segments], format="parquet").count_rows(filter=ds.field("stream") == stream) if segments else 0
 
     def head_position(self) -> int:
         """The greatest stored position; 0 for an empty log. It falls when retention empties the tail."""
@@ -313,7 +387,10 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
         retrying(lambda: self.with_transaction(lambda t: t.checkpoint_save(consumer, position)))
 
     def index_meta(self, key: str) -> None:
-        """Remember a key that is filtered on often; compaction keeps it as a column of its own. Again is no error."""
+        """Give a key columns of its own in all segments from here on, and in the others at the next ``reclaim``. Again is no error.
+
+        A filter on the key then prunes row groups by them; what it finds stays the same.
+        """
         check_key(key)
         with trace.span("index"), self.manifest.writing() as state:
             if key not in state.meta_keys:
@@ -323,10 +400,9 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
 
     def streams(self, after: str | None = None, prefix: str | None = None, limit: int | None = None) -> DataFrame:
         """(stream, head_seq) by name; emptied streams still list."""
-        own = self._counters(self.manifest.refresh())
-        if own is None or limit == 0:
+        if limit == 0:
             return self.spark.createDataFrame([], STREAMS_SCHEMA)
-        out = own.select("stream", F.greatest(F.col("next_seq") - 1, F.lit(0)).alias("head_seq"))
+        out = self._streams(self.manifest.refresh())
         if after is not None:
             out = out.where(F.col("stream") > after)
         if prefix:
@@ -336,6 +412,10 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
         out = out.orderBy("stream")
         return out if limit is None else out.limit(limit)
 
+    def _streams(self, state: State) -> DataFrame:
+        own = self._counters(state)
+        return self.spark.createDataFrame([], STREAMS_SCHEMA) if own is None else own.select("stream", F.greatest(F.col("next_seq") - 1, F.lit(0)).alias("head_seq"))
+
     def kinds(self, after: str | None = None, limit: int | None = None) -> DataFrame:
         """Kinds that are still stored, by name."""
         out = self._frame(self.manifest.refresh()).select("kind").distinct()
@@ -360,6 +440,25 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
         return self._listing([tuple(r[k] for k in RECEIPTS_SCHEMA.fieldNames()) for r in self.manifest.refresh().exports.values()], RECEIPTS_SCHEMA, after, limit)
 
 
+def _groups(segments: list[Segment], rows: int | None) -> Iterator[list[Segment]]:
+    """Runs of segments that have about so many rows, doubling; all at once without a number. A run never parts overlapping ranges."""
+    if rows is None:
+        if segments:
+            yield segments
+        return
+    held: list[Segment] = []
+    n = low = high = 0
+    for s in segments:
+        if held and n >= rows and (s.min_position > high or s.max_position < low):
+            yield held
+            held, n, rows = [], 0, 2 * rows
+        low, high = (min(low, s.min_position), max(high, s.max_position)) if held else (s.min_position, s.max_position)
+        held.append(s)
+        n += s.rows
+    if held:
+        yield held
+
+
 class StreamHandle:
     """One stream of a log."""
 
@@ -403,13 +502,13 @@ class StreamHandle:
 
     def read_last(self, n: int) -> list[dict[str, Any]]:
         """The last n, oldest first."""
-        return self.read()[-n:] if n else []
+        return self.log._read_stream(self.log.manifest.refresh(), self.name, Filter(), 0, n, True)
 
     def head(self) -> int | None:
-        return self.log._stream_rows(self.log.manifest.refresh(), self.name)[0]
+        return self.log._stream_head(self.log.manifest.refresh(), self.name)
 
     def len(self) -> int:
-        return self.log._stream_rows(self.log.manifest.refresh(), self.name)[1]
+        return self.log._stream_len(self.log.manifest.refresh(), self.name)
 
     def is_empty(self) -> bool:
         return self.head() is None

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,14 +20,10 @@ def ordered(df: DataFrame, order: Sequence[str], partitions: int) -> DataFrame:
     return df.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
 
 
-def staged(df: DataFrame, order: Sequence[str], partitions: int) -> DataFrame:
-    """``ordered`` rows, written to the folder that executors share: numbering needs partitions that stay as they are."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    root = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "evlog-checkpoints"))
-    path = f"{root.rstrip('/')}/evlog-{uuid.uuid4().hex}"
-    ordered(df, order, partitions).write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "evlog-checkpoints"))
 
 
 def assign(staged: DataFrame, head: int, counters: DataFrame | None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 from evlog import envelope, trace
 from evlog.errors import ConsumerBehind, NotExported, Truncated, Validation
 from evlog.operators.filters import Filter
-from evlog.schema import COLUMNS, check_u63
+from evlog.functions.json_meta import index_values
+from evlog.schema import LOG_SCHEMA, check_u63
 from evlog.store.manifest import Segment, State
-from evlog.transfer import ExportedEvent, Sink
+from evlog.transfer import ExportedEvent, FrameSink, Sink, records
 
 
 @dataclass(frozen=True)
@@ -153,60 +155,77 @@ class Retention:
             touched = [s for s in state.segments.values() if plan.may_touch(s)]
             rest = [s for s in touched if not plan.covers(s)]  # segments that go as a whole aren't read
             row = {"id": len(state.retention) + 1, "applied_ms": envelope.now_ms(), "plan": label + plan.describe(), "removed_count": removed, "highest_removed": highest}
-            self.manifest.publish({"add": self._rewrite(rest, ~plan.column()), "remove": [s.path for s in touched], "retention": [row]})
+            self.manifest.publish({"add": self._rewrite(rest, ~plan.column(), self.index_keys(state)), "remove": [s.path for s in touched], "retention": [row]})
             seen["removed"] = removed
             return Report(removed, highest, streams)
 
-    def _rewrite(self, segments: list[Segment], keep: Column | None) -> list[dict[str, Any]]:
-        """What is kept of some segments, as new ones of the same positions."""
+    def _rewrite(self, segments: list[Segment], keep: Column | None, keys: list[str]) -> list[dict[str, Any]]:
+        """What is kept of some segments, as new ones of the same positions, with columns for the indexed keys."""
         if not segments:
             return []
         name = f"segments/{uuid.uuid4().hex}"
-        df = self.spark.read.parquet(*[self.manifest.check(s) for s in segments]).select(*COLUMNS)
+        df = self.spark.read.schema(LOG_SCHEMA).parquet(*[self.manifest.check(s) for s in segments])
         if keep is not None:
             df = df.where(keep)
+        df = df.withColumns({c: v for k in keys for c, v in index_values(F.col("meta"), k).items()})
         parts = max(1, sum(s.size for s in segments) // (128 << 20))
         df.repartitionByRange(parts, "position").sortWithinPartitions("position").write.parquet(self.manifest.path(name))
-        files = [f"{name}/{f}" for f in sorted(os.listdir(self.manifest.path(name))) if f.endswith(".parquet")]
-        import pyarrow.parquet as pq
+        return self.manifest.described(self.spark, name, keys)
 
-        return [self.manifest.describe(f) for f in files if pq.ParquetFile(self.manifest.path(f)).metadata.num_rows]
+    def reclaim(self, small_rows: int = 1_000_000, grace: float = 60.0) -> int:
+        """Merge small segments and counters, give indexed keys their columns everywhere, and delete files that no commit has named for ``grace`` seconds; how many files went.
 
-    def reclaim(self, small_rows: int = 1_000_000) -> int:
-        """Merge small segments and delete files that no commit names any more; how many files went."""
+        The grace is for readers that hold a plan over files of an earlier state.
+        """
         with trace.span("reclaim"), self.manifest.writing() as state:
+            keys = self.index_keys(state)
             small = [s for s in state.segments.values() if s.rows < small_rows]
-            if len(small) > 1:
-                state = self.manifest.publish({"add": self._rewrite(small, None), "remove": [s.path for s in small]})
+            small = small if len(small) > 1 else []
+            bare = [s for s in state.segments.values() if s not in small and set(keys) - set(s.keys or ())]
+            commit: dict[str, Any] = {}
+            if small or bare:
+                commit |= {"add": self._rewrite([*small, *bare], None, keys), "remove": [s.path for s in (*small, *bare)]}
+            if len(state.counters) > 8:
+                merged = f"counters/{uuid.uuid4().hex}"
+                self.spark.read.parquet(*map(self.manifest.path, state.counters)).groupBy("stream").agg(F.max("next_seq").alias("next_seq")).write.parquet(self.manifest.path(merged))
+                commit["counters"] = [merged]
+            if commit:
+                state = self.manifest.publish(commit)
+            old = time.time() - grace
             live = {s.path for s in state.segments.values()}
             gone = 0
             for top, _, files in os.walk(self.manifest.path("segments")):
                 for f in files:
                     full = os.path.join(top, f)
-                    if os.path.relpath(full, self.manifest.root) not in live:
+                    if os.path.relpath(full, self.manifest.root) not in live and os.path.getctime(full) <= old:
                         os.unlink(full)
                         gone += f.endswith(".parquet")
             for d in ("models", "tables"):
-                named = {p for p in getattr(state, d).values() if p}
+                named = {x for p in getattr(state, d).values() if p for x in p.split("|")}
                 for name in os.listdir(self.manifest.path(d)):
                     for version in os.listdir(self.manifest.path(d, name)):
-                        if f"{d}/{name}/{version}" not in named:
+                        if f"{d}/{name}/{version}" not in named and os.path.getctime(self.manifest.path(d, name, version)) <= old:
                             shutil.rmtree(self.manifest.path(d, name, version))
                             gone += 1
             for name in os.listdir(self.manifest.path("counters")):
-                if f"counters/{name}" not in state.counters:
+                if f"counters/{name}" not in state.counters and os.path.getctime(self.manifest.path("counters", name)) <= old:
                     shutil.rmtree(self.manifest.path("counters", name))
             return gone
 
     def export_recorded(self, from_: int = 0, f: Filter = Filter(), limit: int | None = None) -> tuple[list[ExportedEvent], Receipt]:
         """A page and its receipt. Only confirmed receipts of unfiltered pages count towards ``exported_through``."""
-        with trace.span("export") as seen, self.manifest.writing() as state:
-            page = [ExportedEvent(r["stream"], r["position"], envelope.from_row(r)) for r in self._rows(state, from_, f, limit)]
-            receipt = Receipt(max(state.exports, default=0) + 1, from_, page[-1].position if page else from_, len(page), f.whole)
-            self.manifest.publish({"exports": [receipt.__dict__ | {"taken_ms": envelope.now_ms(), "landed_ms": None}]})
+        with trace.span("export") as seen:
+            page = [ExportedEvent(r["stream"], r["position"], envelope.from_row(r)) for r in self._rows(self.manifest.refresh(), from_, f, limit)]
+            receipt = self._receipt(from_, page[-1].position if page else from_, len(page), f.whole)
             seen["count"] = len(page)
             return page, receipt
 
+    def _receipt(self, from_: int, through: int, count: int, whole: bool) -> Receipt:
+        with self.manifest.writing() as state:
+            receipt = Receipt(max(state.exports, default=0) + 1, from_, through, count, whole)
+            self.manifest.publish({"exports": [receipt.__dict__ | {"taken_ms": envelope.now_ms(), "landed_ms": None}]})
+            return receipt
+
     def confirm_export(self, receipt_id: int) -> None:
         """What the receipt covers is safe elsewhere. Again is no error."""
         with self.manifest.writing() as state:
@@ -216,7 +235,7 @@ class Retention:
                 self.manifest.publish({"landed": {str(receipt_id): envelope.now_ms()}})
 
     def archive_then_retain(self, plan: Plan, sink: Sink, page: int = 256) -> Report:
-        """Export from the end of the confirmed chain to the plan's highest position, page by page, then remove."""
+        """Export from the end of the confirmed chain to the plan's highest position, page by page (a ``FrameSink`` gets one frame), then remove."""
         if page <= 0:
             raise Validation("a page holds one event at least")
         with trace.span("archive", plan=plan.describe()):
@@ -224,6 +243,12 @@ class Retention:
             if highest is None:
                 return Report()
             at = self.exported_through()
+            if isinstance(sink, FrameSink) and at < highest:  # one page, whatever its size, written by Spark
+                rows = self.stored(at).where(F.col("position") <= highest)
+                receipt = self._receipt(at, highest, rows.count(), True)
+                sink.write_frame(records(rows))
+                self.confirm_export(receipt.id)
+                at = highest
             while at < highest:
                 got, receipt = self.export_recorded(at, Filter(), page)
                 if not got:

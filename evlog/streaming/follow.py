@@ -7,6 +7,7 @@ a crash between them finds its rows at or before the cursor and is passed over.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evlog.project import ProjectionRunner
@@ -17,8 +18,14 @@ def follow(runner: ProjectionRunner, checkpoint: str, available_now: bool = True
     """Start the query; with ``available_now`` it ends when it has seen all there is."""
     log = runner.log
 
-    def batch(_: DataFrame, __: int) -> None:
-        runner.catch_up()  # reads from the log's cursor, whatever Spark's offset is
+    def batch(rows: DataFrame, _: int) -> None:
+        rows.persist()
+        try:
+            through = rows.agg(F.max("position")).first()[0]
+            if through is not None:
+                runner.run_frame(rows, through)
+        finally:
+            rows.unpersist()
 
     writer = stream_frame(log.spark, log.manifest.root).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()

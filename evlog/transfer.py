@@ -7,10 +7,13 @@ import os
 import shutil
 from abc import ABC, abstractmethod
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from typing import IO, Any
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evlog import envelope, trace
@@ -18,6 +21,17 @@ from evlog.errors import StorageError, Validation
 from evlog.operators.filters import Filter
 
 
+#: Files that the driver copies itself.
+COPY_FILES = 256
+
+
+def _copy(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            shutil.copy2(row["a"], row["b"])
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+
 @dataclass(frozen=True)
 class ExportedEvent:
     """A stored event on its way: not upcasted; ``position`` is where it was, if that is known."""
@@ -71,6 +85,21 @@ class JsonLinesSink(Sink):
         self.out.flush()
 
 
+class FrameSink(Sink):
+    """Takes a whole export at once, as a frame (position, record) that Spark writes."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, page: list[ExportedEvent]) -> None:
+        raise Validation("this sink takes frames")
+
+    def write_frame(self, frame: DataFrame) -> None:
+        """A folder of JSON Lines for each export, named by its first position."""
+        first = frame.agg(F.min("position")).first()[0]
+        frame.sortWithinPartitions("position").select("record").write.text(os.path.join(self.path, f"{first:020d}"))
+
+
 class LogSink(Sink):
     """Imports every page into another log; an empty page is no write."""
 
@@ -99,8 +128,7 @@ class Transfer:
 
     def export_frame(self, from_: int = 0, f: Filter = Filter()) -> DataFrame:
         """(position, record): the same as JSON records, for bulk; ``.select('record').write.text`` makes JSON Lines."""
-        event = F.concat(F.lit('{"kind":'), _quoted("kind"), F.lit(',"meta":'), "meta", F.lit(',"data":'), "data", F.lit(',"_schema_version":'), "schema_version", F.lit(',"seq":'), "seq", F.lit(',"epoch_ms":'), "epoch_ms", F.lit("}"))
-        return self.stored(from_, f).select("position", F.concat(F.lit('{"stream":'), _quoted("stream"), F.lit(',"position":'), "position", F.lit(',"event":'), event, F.lit("}")).alias("record"))
+        return records(self.stored(from_, f))
 
     def import_records(self, records: Iterable[ExportedEvent]) -> ImportReport:
         """One commit: new coordinates in the given order; time and version stay."""
@@ -110,9 +138,17 @@ class Transfer:
         return ImportReport(*self.with_transaction(lambda t: t.import_many([(r.stream, r.position, r.event) for r in records])))
 
     def import_frame(self, df: DataFrame, order: list[str]) -> ImportReport:
-        """Bulk import of stored rows (stream, epoch_ms, kind, schema_version, meta, data), any table mapped to those."""
-        n, first, last = self.append_frame(df, order)
-        return ImportReport(n, first, last, False) if n else ImportReport(0, None, None, True)
+        """Bulk import of stored rows (stream, epoch_ms, kind, schema_version, meta, data), any table mapped to those.
+
+        With a column ``position`` (where a row was; null if unknown) or ``seq``, the report says whether every row landed there.
+        """
+        came = [F.lit(True)]
+        for c, name in (("position", "_came"), ("seq", "_came_seq")):
+            if c in df.columns:
+                df = df.withColumnRenamed(c, name)
+                order = [name if o == c else o for o in order]
+                came.append(F.col(name).isNull() | (F.col(name) == F.col(c)))
+        return ImportReport(*self._append_frame(df, order, reduce(Column.__and__, came)))
 
     def backup_to(self, path: str) -> None:
         """A consistent copy as of one commit; the destination must not exist, and goes again if the copy fails."""
@@ -124,11 +160,15 @@ class Transfer:
             try:
                 for d in ("_log", "segments", "models", "tables", "counters", "tmp"):
                     os.makedirs(os.path.join(path, d))
-                for s in state.segments.values():
-                    target = os.path.join(path, s.path)
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    shutil.copy2(self.manifest.check(s), target)
-                for p in [*state.counters, *state.models.values(), *state.tables.values()]:
+                pairs = [(self.manifest.check(s), os.path.join(path, s.path)) for s in state.segments.values()]
+                for d in {os.path.dirname(b) for _, b in pairs}:
+                    os.makedirs(d, exist_ok=True)
+                if len(pairs) > COPY_FILES:  # many files are copied by the executors
+                    self.spark.createDataFrame(pairs, "a string, b string").repartition(len(pairs) // 16 + 1).mapInArrow(_copy, "n bigint").agg(F.sum("n")).collect()
+                else:
+                    with ThreadPoolExecutor(8) as pool:
+                        list(pool.map(lambda p: shutil.copy2(*p), pairs))
+                for p in [*state.counters, *(x for m in state.models.values() for x in m.split("|")), *state.tables.values()]:
                     shutil.copytree(self.manifest.path(p), os.path.join(path, p))
                 with open(os.path.join(path, "_log", f"{max(1, state.n):020d}.state.json"), "w", encoding="utf-8") as f:
                     json.dump(state.dump() | {"n": max(1, state.n)}, f, ensure_ascii=False)
@@ -140,6 +180,12 @@ class Transfer:
                 raise
 
 
+def records(rows: DataFrame) -> DataFrame:
+    """(position, record) of stored rows, each as its JSON record."""
+    event = F.concat(F.lit('{"kind":'), _quoted("kind"), F.lit(',"meta":'), "meta", F.lit(',"data":'), "data", F.lit(',"_schema_version":'), "schema_version", F.lit(',"seq":'), "seq", F.lit(',"epoch_ms":'), "epoch_ms", F.lit("}"))
+    return rows.select("position", F.concat(F.lit('{"stream":'), _quoted("stream"), F.lit(',"position":'), "position", F.lit(',"event":'), event, F.lit("}")).alias("record"))
+
+
 def _quoted(column: str):
     """The column as a JSON string literal."""
     return F.regexp_extract(F.to_json(F.struct(F.col(column).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
