@@ -100,3 +100,17 @@ def from_row(row: dict[str, Any]) -> Event:
         if not isinstance(body[k], dict):
             raise Corruption(f"{k} at position {row['position']} isn't an object")
     return {"kind": row["kind"], **body, "_schema_version": row["schema_version"], "seq": row["seq"], "epoch_ms": row["epoch_ms"]}
+
+
+def from_rows(rows: list[dict[str, Any]]) -> list[Event]:
+    """As ``from_row``, with one parse for each column; rows that don't come out one object each are looked at singly."""
+    bodies = []
+    for k in ("meta", "data"):
+        try:
+            found = json.loads(f"[{','.join([r[k] for r in rows])}]")
+        except (TypeError, ValueError):
+            found = []
+        if len(found) != len(rows) or not all(type(v) is dict for v in found):
+            return [from_row(r) for r in rows]
+        bodies.append(found)
+    return [{"kind": r["kind"], "meta": m, "data": d, "_schema_version": r["schema_version"], "seq": r["seq"], "epoch_ms": r["epoch_ms"]} for r, m, d in zip(rows, *bodies, strict=True)]

@@ -313,14 +313,17 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
             if limit is not None and not f.meta_:
                 need = limit - len(out)
                 found = found.slice(max(0, len(found) - need)) if last else found.slice(0, need)
-            rows = [r for r in found.to_pylist() if not f.meta_ or f.matches(r["stream"], r["kind"], envelope.from_row(r)["meta"])]
+            columns = [found.column(c).to_pylist() for c in COLUMNS]
+            rows = [dict(zip(COLUMNS, values, strict=True)) for values in zip(*columns, strict=True)]
+            if f.meta_:
+                rows = [r for r in rows if f.matches(r["stream"], r["kind"], envelope.from_row(r)["meta"])]
             out = rows + out if last else out + rows
             if limit is not None and len(out) >= limit:
                 return out[-limit:] if last else out[:limit]
         return out
 
-    def _recorded(self, rows: Iterable[dict[str, Any]]) -> list[Recorded]:
-        return [Recorded(r["position"], r["stream"], apply_chain(self.upcasters, envelope.from_row(r))) for r in rows]
+    def _recorded(self, rows: list[dict[str, Any]]) -> list[Recorded]:
+        return [Recorded(r["position"], r["stream"], apply_chain(self.upcasters, e)) for r, e in zip(rows, envelope.from_rows(rows), strict=True)]
 
     def read_all(self, from_: int = 0, f: Filter = Filter(), limit: int | None = None) -> list[Recorded]:
         """Events after a position (exclusive), in order, filtered as stored, in their current shape."""
@@ -331,7 +334,7 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
             return []
         check_u63(from_seq, "seq")
         rows = self._rows(state, 0, f.stream(stream), limit, from_seq, last)
-        return [apply_chain(self.upcasters, envelope.from_row(r)) for r in rows]
+        return [apply_chain(self.upcasters, e) for e in envelope.from_rows(rows)]
 
     def _stream_head(self, state: State, stream: str) -> int | None:
         """The stream's greatest stored number: its counter's last, unless something was removed."""

@@ -215,7 +215,7 @@ class Retention:
     def export_recorded(self, from_: int = 0, f: Filter = Filter(), limit: int | None = None) -> tuple[list[ExportedEvent], Receipt]:
         """A page and its receipt. Only confirmed receipts of unfiltered pages count towards ``exported_through``."""
         with trace.span("export") as seen:
-            page = [ExportedEvent(r["stream"], r["position"], envelope.from_row(r)) for r in self._rows(self.manifest.refresh(), from_, f, limit)]
+            page = self.export(from_, f, limit)
             receipt = self._receipt(from_, page[-1].position if page else from_, len(page), f.whole)
             seen["count"] = len(page)
             return page, receipt

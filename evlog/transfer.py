@@ -124,7 +124,8 @@ class Transfer:
 
     def export(self, from_: int = 0, f: Filter = Filter(), limit: int | None = None) -> list[ExportedEvent]:
         """Stored events after a position, in order, as they were written."""
-        return [ExportedEvent(r["stream"], r["position"], envelope.from_row(r)) for r in self._rows(self.manifest.refresh(), from_, f, limit)]
+        rows = self._rows(self.manifest.refresh(), from_, f, limit)
+        return [ExportedEvent(r["stream"], r["position"], e) for r, e in zip(rows, envelope.from_rows(rows), strict=True)]
 
     def export_frame(self, from_: int = 0, f: Filter = Filter()) -> DataFrame:
         """(position, record): the same as JSON records, for bulk; ``.select('record').write.text`` makes JSON Lines."""
