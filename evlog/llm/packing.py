@@ -2,13 +2,12 @@
 
 Documents become token ids where they are read. Groups of ``GROUP`` documents
 are packed on their own, so nothing is shuffled and a lost task repeats alone.
-In a group of T ids, whole windows are cut from documents longer than one;
-T mod ``capacity`` ids are cut off into windows of power-of-two length, which
-need no padding; the rest is exactly W windows' worth. Karmarkar-Karp merges
-the partial partitions with opposing imbalances into W near-equal windows.
-Where a window exceeds its capacity, its excess is cut off and goes to windows
-with room; with ``cut=False`` pieces stay whole and W rises instead until no
-window exceeds it.
+Whole windows are cut from documents longer than one; what is left of each
+document is cut into equal pieces of at most ``PIECE`` ids. Karmarkar-Karp
+merges the partial partitions with opposing imbalances into W near-equal
+windows, from the least W that can hold all ids; where a window exceeds its
+capacity, W rises until none does. Windows end with padding, about half a
+window for each group and one more for each rise.
 
 Defined cases: null or empty text is the end id alone; repeated rows are packed
 each for itself; an empty table gives an empty result. The same input split
@@ -31,7 +30,9 @@ from pyspark.sql import functions as F
 from evlog.llm import textbytes as tb
 
 CAPACITY = 1024
-GROUP = 512
+GROUP = 256
+#: Ids of a piece, at most, of what is left of a document: small pieces make windows nearly equal.
+PIECE = 256
 CACHE = 300_000
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -182,7 +183,7 @@ def differencing(sizes: list[int], bins: int) -> list[int]:
     return out
 
 
-def pack(lengths: list[int], capacity: int = CAPACITY, cut: bool = True) -> list[tuple[int, int, int, int, int]]:
+def pack(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int, int, int, int]]:
     """Pieces (item, start in it, length, window, offset there) of a group; every id lies in one piece."""
     out: list[tuple[int, int, int, int, int]] = []
     window = 0
@@ -193,60 +194,27 @@ def pack(lengths: list[int], capacity: int = CAPACITY, cut: bool = True) -> list
             out.append((i, at, capacity, window, 0))
             at += capacity
             window += 1
-        if n > at:
-            rest.append((i, at, n - at))
-    total = sum(x[2] for x in rest)
-    if not cut:
-        bins = max(1, -(-total // capacity))
-        while rest:
-            where = differencing([x[2] for x in rest], bins)
-            if max(np.bincount(where, weights=[x[2] for x in rest])) <= capacity:
-                break
-            bins += 1  # a window exceeds its capacity
-        used = [0] * bins
-        for x, b in zip(rest, where if rest else [], strict=True):
-            out.append((x[0], x[1], x[2], window + b, used[b]))
-            used[b] += x[2]
-        return out
-    odd = total % capacity
-    for k in reversed(range(odd.bit_length())):
-        if odd >> k & 1:
-            offset = 0
-            while offset < 1 << k:
-                i, at, n = rest.pop()
-                take = min(n, (1 << k) - offset)
-                out.append((i, at, take, window, offset))
-                offset += take
-                if take < n:
-                    rest.append((i, at + take, n - take))
-            window += 1
-    bins = total // capacity
-    where = differencing([x[2] for x in rest], bins)
+        for left in range(-(-(n - at) // piece), 0, -1):
+            own = (n - at) // left
+            rest.append((i, at, own))
+            at += own
+    sizes = np.array([x[2] for x in rest], dtype=np.int64)
+    bins = -(-int(sizes.sum()) // capacity)
+    while rest:
+        where = differencing(sizes.tolist(), bins)
+        if np.bincount(where, weights=sizes).max() <= capacity:
+            break
+        bins += 1  # a window exceeds its capacity
     held: list[list[tuple[int, int, int]]] = [[] for _ in range(bins)]
-    for x, b in zip(rest, where, strict=True):
+    for x, b in zip(rest, where if rest else [], strict=True):
         held[b].append(x)
-    spare: list[tuple[int, int, int]] = []
-    for b in held:
-        over = sum(x[2] for x in b) - capacity
-        while over > 0:
-            i, at, n = b.pop()
-            keep = max(0, n - over)
-            if keep:
-                b.append((i, at, keep))
-            spare.append((i, at + keep, n - keep))
-            over -= n - keep
     for b in held:
-        room = capacity - sum(x[2] for x in b)
-        while room > 0:
-            i, at, n = spare.pop()
-            take = min(n, room)
-            b.append((i, at, take))
-            if take < n:
-                spare.append((i, at + take, n - take))
-            room -= take
         offset = 0
         for i, at, n in b:
-            out.append((i, at, n, window, offset))
+            if offset and out[-1][0] == i and out[-1][1] + out[-1][2] == at:  # pieces of one document that meet again
+                out[-1] = (i, out[-1][1], out[-1][2] + n, window, out[-1][4])
+            else:
+                out.append((i, at, n, window, offset))
             offset += n
         window += 1
     return out
@@ -271,7 +239,7 @@ def rebatched(batches: Iterator[pa.RecordBatch], rows: int, limit: int = 16 << 2
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | Callable[[], str], id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP, end_id: int = 0, cut: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | Callable[[], str], id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP, end_id: int = 0, piece: int = PIECE) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``tokenizer``: a path, or a function that gives it on the worker."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -284,7 +252,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | Callable[[], str], id_col:
             keys = batch.column("id")
             raw, offs = tb.utf8(batch.column("text"))
             ids, at = encoder.encode(raw, offs)
-            pieces = np.array(pack(np.diff(at).tolist(), capacity, cut), dtype=np.int64).reshape(-1, 5)
+            pieces = np.array(pack(np.diff(at).tolist(), capacity, piece), dtype=np.int64).reshape(-1, 5)
             doc, start, length, window, offset = pieces.T
             data = ids.astype("<u4", copy=False).view(np.uint8)
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((at[doc] + start).tolist(), (at[doc] + start + length).tolist(), strict=True)]
