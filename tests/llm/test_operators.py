@@ -25,7 +25,7 @@ def test_1_html(spark, nothing):
     got = {r.page_id: r for r in html_extract.extract(df).collect()}
     assert html_extract.extract(df).count() == 10
     assert got[1].text == "A & b\none two\nthree four\nshared line" and got[1].n_chars == len(got[1].text)
-    assert got[2].text == "own words\nown words 2" and got[2].n_deleted == 1 and got[4].text == "shared line\nalone"
+    assert got[2].text == "own words\nown words 2" and got[2].n_deleted == 4 and got[4].text == "shared line\nalone" and got[3].text == "other"
     assert got[5].text == "" == got[6].text and got[7].text == "a &am" and got[8].n_chars == 249_999 and got[9].text == "no tags < 3"
     assert html_extract.extract(df.limit(0)).collect() == []
     assert html_extract.common_lines([1, 2, 3, 4], [2, 9, 4, 1]) == [1, 3]
@@ -34,6 +34,53 @@ def test_1_html(spark, nothing):
     html_extract.ALIGN_CELLS = old
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body class="single has-sidebar"><article><p>a<p>b</article>', "a\nb"),
+        ('<article class="post comments-open"><p>a</article>', "a"),
+        ('<div class="page menu-open"><article>a</article></div>', "a"),
+        ('<div class="sidebar"><div class="menu"><article>a</article></div></div>', "a"),
+        ("<form action=x><div><article>a<form>no</form></article></div></form>", "a"),
+        ('<main><p>a</p><aside><article>teaser</article></aside><div class="related"><article>teaser</article></div><p>b</p></main>', "a\nb"),
+        ('<main><article class="teaser">t</article><p>a</p></main>', "a"),
+        ("<div role='main'><p>a</p></div><p>no", "a"),
+        ('<article>a<ol class="commentlist"><li>no</ol><div class="responses">no</div><section id="comments"><article>no</article></section></article>', "a"),
+        ('<article>a</article><article class="comment">no</article>', "a"),
+        ("<article><header><h1>a</h1></header>b</article><header>no</header>", "a\nb"),
+        ('<p class="no-ads">a</p><p class="ads">no</p><span class="ad">no</span>', "a"),
+        ("<article>a</article><article>b</article>", "a\nb"),
+        ("<nav><article>no</article></nav><p>a", "a"),
+        ("<p>a<b>c<p>d</b>e<table><tr><td>f<td>g</table>", "ac\nde\nf\ng"),
+    ],
+)
+def test_1_what_the_article_is(page, want):
+    roles, texts = zip(*html_extract.lines(page), strict=True)
+    assert html_extract.main_text(list(roles), list(texts), set())[0] == want
+
+
+def test_1_copies_are_nobodys_neighbours(spark):
+    page = "<div>menu</div><div>%s</div><div>foot</div>"
+    rows = [(i, f"http://h.org/{i}", page % w) for i, w in enumerate(["same", "same", "same", "other", "last", "last"])] + [(9, "http://one.org/", page % "x"), (10, "http://two.org/a", page % "x"), (11, "http://two.org/b", page % "x")]
+    rows += [(20, "http://sub.org/a", "<p>a<p>b"), (21, "http://sub.org/b", "<p>a<p>b<p>c")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == ["same", "same", "same", "other", "last", "last"]
+    assert got[9] == "menu\nx\nfoot" == got[10] == got[11]
+    assert got[20] == "a\nb" and got[21] == "c"
+
+
+def test_1_lcs_against_a_plain_table():
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        found, rest = html_extract.common_lines(a, b), iter(b)
+        assert len(found) == best[-1][-1] and found == sorted(set(found)) and all(a[i] in rest for i in found)
+
+
 def test_1_every_page_meets_its_true_neighbour(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(i, f"http://{h}/{s}/{k:03}", f"<p>menu of {h} {s} {k // 2}<p>own {i}", "r") for i, (h, s, k) in enumerate((h, s, k) for h in ("hot.com", "b.org") for s in "xyz" for k in range(40 if h == "hot.com" else 2))]
