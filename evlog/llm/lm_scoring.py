@@ -1,22 +1,25 @@
-"""LM scoring (4): a log-frequency Bloom filter of quantised bigram counts.
+"""LM scoring (4): a log-frequency Bloom filter of quantised n-gram counts.
 
 Training counts come from all training documents. Documents are dealt to
-groups by hash; a group sends each distinct token (and bigram) once, with its
-count there, to the bucket of its hash. A bucket adds up: it answers every
-group with the exact counts of that group's tokens, and turns its bigrams
-(seen ``cutoff`` times or more; all of them in op4, where it is 1) into its own
-segment of the filter: one entry for each level up to
-1 + floor(BASE-log(count / cutoff)). The filter has
-``BITS`` bits an entry at every size. It is broadcast in ranges of buckets of
-about ``RANGE_BYTES``; where there are several, each is one more pass over the
-documents, which adds up the terms of the range's bigrams, and the passes meet
-by row.
-
-The base score uses the exact counts. The model reads a bigram's level by
+groups by hash; a group sends each distinct token, bigram and trigram once,
+with its count there, to the bucket of its hash. A bucket adds up: it answers
+every group with the exact counts of that group's tokens, and turns its
+bigrams (seen ``cutoff`` times or more; all of them in op4, where it is 1) and
+its trigrams (seen ``TRIGRAMS`` times or more) into its own segment of the
+filter: one entry for each level up to 1 + floor(BASE-log(count / cutoff)).
+The filter has ``BITS`` bits an entry at every size. It is broadcast in ranges
+of buckets of about ``RANGE_BYTES``; where there are several, each is one more
+pass over the documents, which notes the levels that it finds, and the passes
+meet by row.
+
+The base score uses the exact counts. The model reads an n-gram's level by
 probing levels from 1 until one is missing, takes the least count of that level
-(so that a context's probabilities add up to one at most), and smooths:
-p(w | u) = LAMBDA * count(u, w) / count(u) + (1 - LAMBDA) * p1(w), p1 being the add-one
-unigram probability; the end of a text is also the context of its first token.
+(of a context, the greatest, so that its probabilities add up to one at most),
+and smooths by absolute discounting of interpolated orders:
+p(w | t, u) = L3 * max(c(t, u, w) - D, 0) / c(t, u) + L2 * max(c(u, w) - D, 0) / c(u)
++ (1 - L2 - L3) * p1(w), p1 being the add-one unigram probability. The discount
+tells what was seen once from what was seen again. The end of a text is also
+the context of its first token, which has no trigram.
 
 Defined cases: null or empty text is the end token alone; with no training
 document every count, N and V are 0; repeated rows are scored (and, if they
@@ -43,13 +46,15 @@ CUTOFF = 2
 BASE = 1.5
 BITS = 12
 PROBES = 5
+#: Least count of a trigram in the filter: nearly all trigrams stand once, and would make it some three times as large.
+TRIGRAMS = 2
 #: Bytes of the filter that are broadcast at once.
 RANGE_BYTES = 192 << 20
-LAMBDA = 0.25
-GROUP_BYTES = 12 << 20
+L2, L3, DISCOUNT = 0.2, 0.1, 0.5
+GROUP_BYTES = 8 << 20
 BUCKET_TOKENS = 1_000_000
 END = np.uint64(0x5EED0FE4D)
-#: The segment of a bucket without bigrams.
+#: The segment of a bucket without n-grams.
 NO_SEGMENT = b"\0" * 9
 
 
@@ -63,6 +68,13 @@ def bigrams(seq: np.ndarray) -> np.ndarray:
     return tb.fold(np.append(END, seq[:-1]), seq)
 
 
+def trigrams(seq: np.ndarray) -> np.ndarray:
+    """With an end before each text; at a text's first token there is none (0)."""
+    one = np.append(END, seq[:-1])
+    two = np.append([END, END], seq[:-2])[: len(seq)]
+    return np.where(one == END, np.uint64(0), tb.fold(two, one, seq))
+
+
 def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(hashes)
     hashes, counts = hashes[order], counts[order]
@@ -137,6 +149,11 @@ def least_count(level: np.ndarray, cutoff: int = CUTOFF) -> np.ndarray:
     return np.where(level > 0, np.ceil(cutoff * BASE ** (np.maximum(level, 1) - 1) - 1e-6), 0.0)
 
 
+def most_count(level: np.ndarray, cutoff: int = CUTOFF) -> np.ndarray:
+    """The greatest count of a level."""
+    return np.where(level > 0, np.ceil(cutoff * BASE ** np.maximum(level, 1) - 1e-6) - 1, 0.0)
+
+
 def positions(hashes: np.ndarray, level: int, size: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
     a = tb.mix64(hashes + np.uint64(level * 0xA24BAED4963EE407 % 2**64))
     b = tb.mix64(a) | np.uint64(1)
@@ -181,23 +198,22 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     sc = spark.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
     size = int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
-    groups = max(1, -(-size // GROUP_BYTES))
+    groups = max(partitions(spark), -(-size // GROUP_BYTES))
     buckets = 1 << max(4, math.ceil(math.log2(max(1, size / 6 / BUCKET_TOKENS))))
     shift = np.uint64(64 - int(math.log2(buckets)))
-    width = max(groups, partitions(spark))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")).withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int"))
-    dealt = own.repartition(width, "g").sortWithinPartitions("g")
+    dealt = own.repartitionById(groups, "g")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, one, two = None, Tally(), Tally()
+        now, tallies = None, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind_, tally in ((1, one), (2, two)):
+            for kind_, tally in tallies.items():
                 h, c = tally.total()
                 cuts = np.searchsorted(h >> shift, np.arange(buckets + 1, dtype=np.uint64)) if len(h) else np.zeros(buckets + 1, np.int64)
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     x, y = h[cuts[b] : cuts[b + 1]], c[cuts[b] : cuts[b + 1]]
-                    # of a bigram, 32 bits within the bucket are enough: the filter errs more often
+                    # of an n-gram, 32 bits within the bucket are enough: the filter errs more often
                     data = x.tobytes() if kind_ == 1 else remainder(x, shift).astype("<u4").tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (b, kind_, now)] + [pa.array([data], pa.binary()), pa.array([_small(y).tobytes()], pa.binary())], ["bucket", "kind", "g", "hashes", "counts"])
 
@@ -210,11 +226,13 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
                     if g != now:
                         if now is not None:
                             yield from flush()
-                        now, one, two = g, Tally(), Tally()
+                        now, tallies = g, {1: Tally(), 2: Tally(), 3: Tally()}
                     seq, first = tokens(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                     learn = np.repeat(train[i + a : i + b], np.diff(first))
-                    one.add(seq, learn.astype(np.int64))
-                    two.add(bigrams(seq)[learn], np.ones(int(learn.sum()), np.int64))
+                    tallies[1].add(seq, learn.astype(np.int64))
+                    tallies[2].add(bigrams(seq)[learn], np.ones(int(learn.sum()), np.int64))
+                    three = trigrams(seq)[learn]
+                    tallies[3].add(three[three > 0], np.ones(int((three > 0).sum()), np.int64))
         if now is not None:
             yield from flush()
 
@@ -238,52 +256,74 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
                 put(bucket, 1, g, x[total > 0].tobytes(), _small(total[total > 0]).tobytes(), 0, 0)
             put(bucket, 0, -1, b"", b"", int(c.sum()), int((c > 0).sum()))
         else:
-            put(bucket, 2, -1, segment(tb.mix64(h.astype(np.uint64)), c, cutoff=cutoff), b"", 0, 0)
+            put(bucket, which, -1, segment(tb.mix64(h.astype(np.uint64)), c, cutoff=cutoff if which == 2 else TRIGRAMS), b"", 0, 0)
         types = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 2
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
     answers = stored(sent.groupBy("bucket", "kind").applyInArrow(add_up, "bucket bigint, kind bigint, g bigint, hashes binary, counts binary, n bigint, v bigint"))
     total = answers.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = int(total[0]), int(total[1])
-    segments = answers.where("kind = 2")
-    sizes = [len(NO_SEGMENT)] * buckets
-    for r in segments.select("bucket", F.octet_length("hashes").alias("n")).collect():
+    segments = answers.where("kind > 1")
+    sizes = [2 * len(NO_SEGMENT)] * buckets
+    for r in segments.groupBy("bucket").agg(F.sum(F.octet_length("hashes")).alias("n")).collect():
         sizes[r.bucket] = r.n
     spans = ranges(sizes, RANGE_BYTES)
     if len(spans) > 1:
         own = stored(own.withColumn("row", F.monotonically_increasing_id()))
     else:
         own = own.withColumn("row", F.lit(0).cast("bigint"))
-    both = dealt_union(own, answers.where("kind = 1"), kind).repartition(width, "g").sortWithinPartitions("g", "doc")
-    result = f"row bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    both = dealt_union(own, answers.where("kind = 1"), kind).repartitionById(groups, "g").sortWithinPartitions("doc")
+    facts = f"row bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double"
 
-    def judged(lo: int, hi: int) -> tuple[DataFrame, Broadcast]:
-        """Rows with the terms of the bigrams of buckets lo to hi - 1 as score."""
-        parts = [NO_SEGMENT] * (hi - lo)
-        for r in segments.where(F.col("bucket").between(lo, hi - 1)).select("bucket", "hashes").toLocalIterator():
-            parts[r.bucket - lo] = bytes(r.hashes)
-        shared = sc.broadcast(Filter(parts))
-        return both.mapInArrow(judge(shared, lo, hi, n, v, shift, cutoff), result), shared
+    def judged(lo: int, hi: int, whole: bool) -> tuple[DataFrame, Broadcast]:
+        """Rows with their score, or with their counts and the levels of the n-grams of buckets lo to hi - 1."""
+        parts = {2: [NO_SEGMENT] * (hi - lo), 3: [NO_SEGMENT] * (hi - lo)}
+        for r in segments.where(F.col("bucket").between(lo, hi - 1)).select("bucket", "kind", "hashes").toLocalIterator():
+            parts[r.kind][r.bucket - lo] = bytes(r.hashes)
+        shared = sc.broadcast({k: Filter(v) for k, v in parts.items()})
+        return both.mapInArrow(judge(shared, lo, hi, n, v, shift, cutoff, whole), f"{facts}, score double" if whole else f"{facts}, counts binary, levels binary"), shared
 
     if len(spans) == 1:
-        scored = judged(*spans[0])[0]
+        scored = judged(*spans[0], True)[0]
     else:
         passes = []
         for lo, hi in spans:
-            found, shared = judged(lo, hi)
-            passes.append(stored(found if not passes else found.select("row", "score")).withColumn("pass", F.lit(len(passes))))
+            found, shared = judged(lo, hi, False)
+            passes.append(stored(found if not passes else found.select("row", "levels")))
             shared.destroy()
-        terms = reduce(DataFrame.unionByName, [p.select("row", "pass", "score") for p in passes])
-        terms = terms.groupBy("row").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("pass", "score"))), F.lit(0.0), lambda a, x: a + x.score).alias("score"))
-        scored = passes[0].drop("pass", "score").join(terms, "row")
+        levels = reduce(DataFrame.unionByName, [p.select("row", "levels") for p in passes]).groupBy("row").agg(F.collect_list("levels").alias("all"))  # one of each range
+        met = passes[0].drop("levels").join(levels, "row")
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for counts, all_ in zip(batch.column("counts"), batch.column("all").to_pylist(), strict=True):
+                    c = np.frombuffer(counts.as_py(), "<i8")
+                    level = np.maximum.reduce([np.frombuffer(x, np.uint8) for x in all_]).astype(np.int64)
+                    out.append(float(terms(c, np.array([0, len(c) - 1]), level[: len(c) - 1], level[len(c) - 1 :], n, v, cutoff).sum()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(out, pa.float64())], [*batch.schema.names[:7], "score"])
+
+        scored = met.mapInArrow(finish, f"{facts}, score double")
     return scored.drop("row").withColumnRenamed("id", id_col)
 
 
-def judge(shared: Broadcast, lo: int, hi: int, n: int, v: int, shift: np.uint64, cutoff: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Scores documents, which follow the answers to their group; only bigrams of buckets lo to hi - 1 count in ``score``."""
+def terms(c: np.ndarray, first: np.ndarray, two: np.ndarray, three: np.ndarray, n: int, v: int, cutoff: int) -> np.ndarray:
+    """log10 p of each token, from the tokens' counts (the end's comes after all of them) and the levels of the n-grams that they end."""
+    ends, c = int(c[-1]), c[:-1]
+    before = np.append(ends, c[:-1])
+    context = np.append(0, most_count(two, cutoff)[:-1])
+    before[first[:-1]], context[first[:-1]] = ends, 0
+    p = (1 - L2 - L3) * (c + 1.0) / (n + v + 1)
+    p += L2 * np.maximum(least_count(two, cutoff) - DISCOUNT, 0) / np.maximum(before, 1)
+    p += np.where(context > 0, L3 * np.maximum(least_count(three, TRIGRAMS) - DISCOUNT, 0) / np.maximum(context, 1), 0)
+    return np.log10(np.minimum(p, 1.0))
+
+
+def judge(shared: Broadcast, lo: int, hi: int, n: int, v: int, shift: np.uint64, cutoff: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores documents, which follow the answers to their group; ``whole``: buckets lo to hi - 1 are all there are."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt = shared.value
+        filters = shared.value
         now, known_h, known_c, pending = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
         low = math.log10(1 / (n + v + 1))
         for batch in batches:
@@ -308,20 +348,24 @@ def judge(shared: Broadcast, lo: int, hi: int, n: int, v: int, shift: np.uint64,
                     if len(known_h):
                         at = np.minimum(np.searchsorted(known_h, seq), len(known_h) - 1)
                         c = np.where(known_h[at] == seq, known_c[at], 0)
-                    base = np.log10(c + 1.0) + low
-                    ends = END == seq
-                    before = np.append(int(c[np.flatnonzero(ends)[0]]), c[:-1])
-                    pair = bigrams(seq)
-                    bucket = (pair >> shift).astype(np.int64)
-                    here = np.flatnonzero((bucket >= lo) & (bucket < hi))
-                    level = filt.level(bucket[here] - lo, tb.mix64(remainder(pair[here], shift)))
-                    p = LAMBDA * least_count(level, cutoff) / np.maximum(before[here], 1) + (1 - LAMBDA) * 10 ** base[here]
-                    own_score = np.zeros(len(seq))
-                    own_score[here] = np.log10(np.minimum(p, 1.0))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("row").slice(i, j - i), part.column("id").slice(i, j - i), part.column("held_out").slice(i, j - i), pa.array(np.diff(first)), pa.array(np.add.reduceat((c > 0).astype(np.int64), first[:-1])), pa.array(np.full(j - i, n)), pa.array(np.add.reduceat(base, first[:-1])), pa.array(np.add.reduceat(own_score, first[:-1]))],
-                        ["row", "id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                    )
+                    ends = int(c[first[1] - 1])
+                    level = {}
+                    for k, grams in ((2, bigrams(seq)), (3, trigrams(seq))):
+                        level[k] = np.zeros(len(seq), np.int64)
+                        bucket = (grams >> shift).astype(np.int64)
+                        here = np.flatnonzero((bucket >= lo) & (bucket < hi) & (grams > 0))
+                        level[k][here] = filters[k].level(bucket[here] - lo, tb.mix64(remainder(grams[here], shift)))
+                    columns = [part.column(x).slice(i, j - i) for x in ("row", "id", "held_out")]
+                    columns += [pa.array(np.diff(first)), pa.array(np.add.reduceat((c > 0).astype(np.int64), first[:-1])), pa.array(np.full(j - i, n)), pa.array(np.add.reduceat(np.log10(c + 1.0) + low, first[:-1]))]
+                    names = ["row", "id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+                    if whole:
+                        own = terms(np.append(c, ends), first, level[2], level[3], n, v, cutoff)
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.add.reduceat(own, first[:-1]))], [*names, "score"])
+                    else:
+                        spans = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+                        counts = [np.append(c[x:y], ends).astype("<i8").tobytes() for x, y in spans]
+                        found = [np.concatenate([level[2][x:y], level[3][x:y]]).astype(np.uint8).tobytes() for x, y in spans]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.binary()), pa.array(found, pa.binary())], [*names, "counts", "levels"])
 
     return score
 

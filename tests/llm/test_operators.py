@@ -153,13 +153,20 @@ def test_4_lm(docs, rows, nothing):
     texts = [(i, i % 4 == 2, (t or "").encode().lower().split() + [None]) for i, t, *_ in rows]
     c = Counter(w for _, h, t in texts if not h for w in t)
     pairs = Counter(p for _, h, t in texts if not h for p in zip([None, *t], t, strict=False))
+    threes = Counter(p for _, h, t in texts if not h for p in zip([None, *t], t, t[1:], strict=False))
     n, v = sum(c.values()), len(c)
     more = []
     for (i, h, t), g in zip(sorted(texts, key=lambda x: x[0]), got, strict=True):
         base = [math.log10((c[w] + 1) / (n + v + 1)) for w in t]
         assert g[:5] == (i, h, len(t), sum(c[w] > 0 for w in t), n) and abs(g[5] - sum(base)) < 1e-6
-        level = [int(lm_scoring.levels(np.array([max(2, pairs[p])]))[0]) if pairs[p] >= 2 else 0 for p in zip([None, *t], t, strict=False)]
-        own = [math.log10(min(1, 0.25 * float(lm_scoring.least_count(np.array([k]))[0]) / max(1, c[u]) + 0.75 * 10**b)) for k, u, b in zip(level, [None, *t], base, strict=False)]
+        counts = lambda k, cut, f: float(f(lm_scoring.levels(np.array([k]), cut), cut)[0]) if k >= cut else 0.0
+        own = []
+        for k, w in enumerate(t):
+            u = t[k - 1] if k else None
+            p = 0.7 * 10 ** base[k] + 0.2 * max(counts(pairs[u, w], 2, lm_scoring.least_count) - 0.5, 0) / max(1, c[u])
+            if k and (context := counts(pairs[t[k - 2] if k > 1 else None, u], 2, lm_scoring.most_count)):
+                p += 0.1 * max(counts(threes[t[k - 2] if k > 1 else None, u, w], 2, lm_scoring.least_count) - 0.5, 0) / context
+            own.append(math.log10(min(1, p)))
         assert g[6] >= sum(own) - 1e-6  # the filter may see more than there is, never less
         more.append((g[6] - sum(own), len(t)))
     assert sum(m for m, _ in more) < 0.03 * sum(k for _, k in more)
@@ -192,9 +199,31 @@ def test_4_the_query_keeps_bigrams_seen_once(spark, tmp_path):
     rows = [(i, f"w{i} x{i} y{i}") for i in range(40)]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["op4_lm_scoring"](spark, str(tmp_path)).where("not held_out").collect()
-    for r in got:  # each word and each bigram inside a text stands once: p = 0.25 * 1 / 1 + 0.75 * p1
-        inner = math.log10(0.25 + 0.75 * 2 / (r.train_tokens + 3 * len(got) + 2))
-        assert r.score >= r.base_score + 4 * math.log10(0.75) - 1e-9 and r.score > 2 * inner + 2 * math.log10(0.75 / (r.train_tokens + 3 * len(got) + 2))
+    for r in got:  # each word and each bigram inside a text stands once: p = 0.2 * (1 - 0.5) / 1 + 0.7 * p1
+        inner = math.log10(0.1 + 0.7 * 2 / (r.train_tokens + 3 * len(got) + 2))
+        assert abs(r.score - r.base_score - 2 * (inner - math.log10(2 / (r.train_tokens + 3 * len(got) + 2)))) < 2 and r.score > 2 * inner + 2 * math.log10(0.7 / (r.train_tokens + 3 * len(got) + 2))
+
+
+def test_4_what_stands_twice_scores_higher(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(400)], k=80)) for _ in range(120)]
+    rows = list(enumerate(texts + texts[:20]))
+    got = {r.doc_id: r.score / r.n_tokens for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), F.lit(False), cutoff=1).collect()}
+    assert min(got[i] for i in range(20)) > max(got[i] for i in range(20, 120))
+
+
+def test_4_probabilities_add_up_to_one_at_most():
+    rng = np.random.default_rng(3)
+    words = rng.integers(1, 9, 4000)
+    pairs, threes, ones = Counter(zip(words, words[1:], strict=False)), Counter(zip(words, words[1:], words[2:], strict=False)), Counter(words.tolist())
+    level = lambda k, cut: int(lm_scoring.levels(np.array([k]), cut)[0]) if k >= cut else 0
+    for t, u in [(1, 2), (3, 3), (8, 1)]:
+        total = 0
+        for w in range(1, 9):
+            c = np.array([ones[t], ones[u], ones[w], 5])
+            p = lm_scoring.terms(c, np.array([0, 3]), np.array([0, level(pairs[t, u], 1), level(pairs[u, w], 1)]), np.array([0, 0, level(threes[t, u, w], 2)]), len(words), 8, 1)
+            total += 10 ** p[2]
+        assert 0.5 < total <= 1
 
 
 def test_4_a_full_segment_ends():
