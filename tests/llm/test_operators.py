@@ -366,7 +366,7 @@ def test_7_decontamination(spark, docs, rows, nothing):
     want = sorted(decontaminate.brute_force([(r[0], r[1]) for r in rows], items))
     for block in (1 << 20, 40):  # one pass, several
         own = docs if block > 40 else docs.dropDuplicates(["doc_id"])
-        got = decontaminate.decontaminate(own, bench, block_bytes=block).drop("longest_match")
+        got = decontaminate.decontaminate(own, bench, block_bytes=block).drop("longest_match", "matches")
         assert sorted(map(tuple, got.collect())) == (want if block > 40 else sorted(set(want)))
     assert decontaminate.decontaminate(nothing, bench).collect() == []
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
@@ -379,10 +379,38 @@ def test_7_blocks_keep_every_row(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
     want = sorted(decontaminate.brute_force(rows, items), key=str)
     for block in (1 << 20, 60, 10):
-        got = decontaminate.decontaminate(docs, bench, block_bytes=block).drop("longest_match")
+        got = decontaminate.decontaminate(docs, bench, block_bytes=block).drop("longest_match", "matches")
         assert sorted(map(tuple, got.collect()), key=str) == want, block
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_7_longest_matches_against_every_pair_of_places(spark, seed):
+    rng = random.Random(seed)
+    pick = lambda n: [f"v{rng.randint(0, 5)}" for _ in range(n)]
+    items = [(i, " ".join(pick(rng.choice([2, 4, 30])))) for i in range(6)]
+    texts = [(i, " ".join(pick(20) + items[rng.randrange(6)][1].split()[rng.randint(0, 3) :] + pick(10))) for i in range(15)] + [(99, "")]
+    want = {}
+    for i, text in texts:
+        w, found = text.split(), set()
+        for k, item in items:
+            t = item.split()
+            need = min(5, len(t))
+            for a in range(len(w)):
+                for b in range(len(t)):
+                    if w[a : a + 1] == t[b : b + 1] and not (a and b and w[a - 1] == t[b - 1]):
+                        n = 0
+                        while a + n < len(w) and b + n < len(t) and w[a + n] == t[b + n]:
+                            n += 1
+                        if n >= need:
+                            found.add((str(k), b, a, n))
+        want[i] = found
+    docs, bench = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for block in (1 << 20, 40):
+        got = decontaminate.decontaminate(docs, bench, window=5, block_bytes=block).collect()
+        assert {r.doc_id: {tuple(m) for m in r.matches} for r in got} == want
+        assert all(r.longest_match == max((m[3] for m in want[r.doc_id]), default=0) for r in got)
+
+
 def test_7_null_item_ids_are_searched(spark):
     import hashlib
 
@@ -392,7 +420,7 @@ def test_7_null_item_ids_are_searched(spark):
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = [(1, 20, 20, 2, digest("7"), True), (2, 10, 10, 1, digest(""), True), (3, 1, 0, 0, digest(""), False)]
     for block in (1 << 20, 10):
-        assert sorted(map(tuple, decontaminate.decontaminate(docs, bench, block_bytes=block).drop("longest_match").collect())) == want
+        assert sorted(map(tuple, decontaminate.decontaminate(docs, bench, block_bytes=block).drop("longest_match", "matches").collect())) == want
 
 
 def test_8_packing(docs, rows, nothing, tokenizer):
