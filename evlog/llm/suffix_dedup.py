@@ -9,10 +9,16 @@ the array is sparse, and exact all the same:
    two suffixes that share their first ``LEAD`` bytes. Anchors alone with their
    lead are dropped, by a count over the corpus and a join that splits skew.
 2. Anchors whose whole context (as far as a window can reach) occurs twice are
-   settled by that count: copies never meet in one task.
+   settled by that count: copies never meet in one task. Contexts of one lead
+   are told apart by 64 bits of hash.
 3. One suffix for each distinct context goes on. Sampled splitters
    range-partition the suffixes by their leading bytes; equal leads never
-   straddle a boundary, so no comparison is lost between buckets.
+   straddle a boundary, so no comparison is lost between buckets. A lead of
+   more than ``HOT`` contexts is split by the bytes that follow it and, a second
+   time, by those before it: two suffixes that share a window share half of
+   what it has beyond the lead on one side, so that every comparison that
+   such a cut parts is made on the other side. Where even those are more than
+   ``HOT``, the windows themselves are counted, by 64 bits of hash.
 4. In a bucket, multikey quicksort over 8-byte tokens sorts the suffixes, and
    the reversed text before them; neighbours' common lengths give, for each
    offset of a window, the classes of equal left and right parts. A window
@@ -42,6 +48,8 @@ LEAD = 40
 RESULTS = ("n_bytes", "n_removed", "spans", "kept", "kept_sha256")
 #: Suffixes of a bucket, about.
 BUCKET = 50_000
+#: Contexts that are compared in one task, at most, for one lead.
+HOT = 20_000
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -153,6 +161,32 @@ def repeated_offsets(context: list[bytes], left: np.ndarray, length: int = LENGT
     return least, greatest
 
 
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def window_hashes(batches: Iterator[pa.RecordBatch], length: int, lead: int) -> Iterator[pa.RecordBatch]:
+    """A hash of each window of each context, with its distance back from the anchor."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2000):
+            part = batch.slice(i, 2000)
+            context = part.column("context").to_pylist()
+            raw = np.frombuffer(b"".join(context), np.uint8)
+            size = np.array([len(c) for c in context])
+            start = np.cumsum(size) - size
+            left = part.column("at").to_numpy() >> 10 & 1023
+            n = np.maximum(size - length + 1, 0)
+            row = np.repeat(np.arange(len(context)), n)
+            first = tb.spread(start, n)
+            back = left[row] - (first - start[row])
+            good = (back >= 0) & (back <= length - lead)
+            row, first, back = row[good], first[good], back[good]
+            w = tb.span_hashes(raw, first, first + length, tb.BYTE64).view(np.int64)
+            take = lambda c: part.column(c).take(pa.array(row))
+            side = pa.array(np.array([x[0] for x in part.column("lead").to_pylist()], dtype=np.int32)[row])
+            yield pa.RecordBatch.from_arrays([take("id"), take("at"), take("c"), side, pa.array(back.astype(np.int32)), pa.array(w)], ["id", "at", "c", "side", "back", "w"])
+
+
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
     """(id, runs): for each document with repeats, its runs (array of start and end bytes, neither merged nor sorted)."""
     spark = docs.sparkSession
@@ -173,9 +207,11 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, length: int = LEN
     left, right = F.shiftright("at", 10).bitwiseAND(1023), F.col("at").bitwiseAND(1023)
     run = lambda a, b: F.struct((F.shiftright("at", 20) - a).alias("a"), (F.shiftright("at", 20) + b).alias("b"))
     copies = open_.join(contexts.where("c > 1").select("h", "f"), ["h", "f"]).where(left + right >= length).select("id", run(left, right).alias("run"))
-    mixed = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("m")).where("k > 1 and m = 1").select("h")
-    compared = contexts.join(mixed, "h", "left_semi").select("id", "at", "c")
-    per = compared.groupBy("id").agg(F.collect_list(F.struct("at", "c")).alias("marks"))
+    mixed = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("m")).where("k > 1 and m = 1").select("h", (F.col("k") > HOT).alias("hot"))
+    compared = contexts.join(mixed, "h").select("id", "at", "c", "hot")
+    per = compared.groupBy("id").agg(F.collect_list(F.struct("at", "c", "hot")).alias("marks"))
+    ahead = lead + (length - lead) // 2
+    behind = length - ahead + 1
     marked = texts.join(per, texts["id"].eqNullSafe(per["id"])).select(texts["id"], "text", "marks")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,31 +224,51 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, length: int = LEN
                     for m in marks[k]:
                         at, a, b = m["at"] >> 20, m["at"] >> 10 & 1023, m["at"] & 1023
                         base = int(offs[k - i]) + at
-                        out["lead"].append(data[base : base + lead])
-                        out["id"].append(ids[k])
-                        out["at"].append(m["at"])
-                        out["c"].append(m["c"])
-                        out["context"].append(data[base - a : base + b])
+                        keys = [b"0" + data[base : base + lead]]
+                        if m["hot"]:
+                            keys = [b"1" + _digest(data[base : base + ahead])] if b >= ahead else []
+                            keys += [b"2" + _digest(data[base - behind : base + lead])] if a >= behind else []
+                        for key in keys:
+                            out["lead"].append(key)
+                            out["id"].append(ids[k])
+                            out["at"].append(m["at"])
+                            out["c"].append(m["c"])
+                            out["context"].append(data[base - a : base + b])
             yield pa.RecordBatch.from_arrays([pa.array(v, batch.schema.field("id").type if n == "id" else pa.binary() if n in ("lead", "context") else pa.int64()) for n, v in out.items()], list(out))
 
     suffixes = stored(marked.mapInArrow(cut_out, f"lead binary, id {kind}, at bigint, c bigint, context binary"))
     buckets = max(partitions(spark), suffixes.count() // BUCKET)
+    crowds = stored(suffixes.where(F.col("lead") >= F.lit(b"1")).groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("lead"))
+    crowded = crowds.count()  # one for each HOT suffixes at most
+    usual = suffixes.join(F.broadcast(crowds), "lead", "left_anti") if crowded else suffixes
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         bucket = pa.Table.from_batches(held)
-        at = bucket.column("at").to_numpy()
-        least, greatest = repeated_offsets(bucket.column("context").to_pylist(), at >> 10 & 1023, length, lead)
-        hit = np.flatnonzero((greatest >= 0) & (bucket.column("c").to_numpy() == 1))
-        pos = at[hit] >> 20
-        yield pa.RecordBatch.from_arrays([bucket.column("id").combine_chunks().take(pa.array(hit)), pa.array(pos - greatest[hit]), pa.array(pos - least[hit] + length)], ["id", "a", "b"])
-
-    ranged = suffixes.repartitionByRange(buckets, "lead").mapInArrow(compare, f"id {kind}, a bigint, b bigint")
+        side = np.array([x[0] for x in bucket.column("lead").to_pylist()])
+        for s in np.unique(side):  # the same context may be here by both sides
+            part = bucket.take(pa.array(np.flatnonzero(side == s)))
+            at = part.column("at").to_numpy()
+            least, greatest = repeated_offsets(part.column("context").to_pylist(), at >> 10 & 1023, length, lead)
+            hit = np.flatnonzero((greatest >= 0) & (part.column("c").to_numpy() == 1))
+            pos = at[hit] >> 20
+            yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks().take(pa.array(hit)), pa.array(pos - greatest[hit]), pa.array(pos - least[hit] + length)], ["id", "a", "b"])
+
+    ranged = usual.repartitionByRange(buckets, "lead").mapInArrow(compare, f"id {kind}, a bigint, b bigint")
     runs = copies.unionByName(ranged.select("id", F.struct("a", "b").alias("run")))
+    if crowded:
+        many = suffixes.join(F.broadcast(crowds), "lead", "left_semi")
+        windows = stored(many.mapInArrow(lambda batches: window_hashes(batches, length, lead), f"id {kind}, at bigint, c bigint, side int, back int, w bigint"))
+        # one place of a window may be seen from two anchors, but equal windows lie alike around theirs
+        again = windows.groupBy("side", "back", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("side", "back", "w")
+        hits = windows.where("c = 1").join(again, ["side", "back", "w"]).groupBy("id", "at").agg(F.min("back").alias("least"), F.max("back").alias("most"))
+        runs = runs.unionByName(hits.select("id", run(F.col("most"), F.lit(length) - F.col("least")).alias("run")))
     out = stored(runs.groupBy("id").agg(F.collect_list("run").alias("runs")))
-    dropped(shared, open_, contexts, suffixes)
+    dropped(shared, open_, contexts, suffixes, crowds)
+    if crowded:
+        dropped(windows)
     return out
 
 
