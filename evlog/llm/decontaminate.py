@@ -187,7 +187,7 @@ def matches(docs: DataFrame, ids: list[str | None], texts: list[str], window: in
                     ["row", "id", "n_words", "span_from", "span_to", "items", "matches"],
                 )
 
-    return docs.mapInArrow(search, schema)
+    return docs.mapInArrow(tb.tidy(search), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

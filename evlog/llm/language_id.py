@@ -30,11 +30,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evlog.llm.textbytes import release
+
 SAMPLE_TEXTS = 48
 SAMPLE_BYTES = 4096
 BLOCK = 2048
 #: Characters that are parsed beside each other.
-SLICE = 4 << 20
+SLICE = 2 << 20
 UNDETERMINED = "und"
 
 
@@ -267,6 +269,7 @@ def identify(docs: DataFrame, learned: dict[str, list[str]], text_col: str = "te
             if size > SLICE or i == len(values) - 1:
                 parts.append(own.predict(values[at : i + 1]))
                 at, size = i + 1, 0
+        release()
         return pd.DataFrame({name: [x for p in parts for x in p[k]] for k, name in enumerate(("lang_pred", "score", "rate"))})
 
     names = ("lang_pred", "score", "rate")

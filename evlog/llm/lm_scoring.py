@@ -236,7 +236,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         if now is not None:
             yield from flush()
 
-    sent = dealt.select("g", "held_out", "text").mapInArrow(count, "bucket bigint, kind bigint, g bigint, hashes binary, counts binary")
+    sent = dealt.select("g", "held_out", "text").mapInArrow(tb.tidy(count), "bucket bigint, kind bigint, g bigint, hashes binary, counts binary")
 
     def add_up(key: tuple, rows: pa.Table) -> pa.Table:
         bucket, which = key[0].as_py(), key[1].as_py()
@@ -281,7 +281,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         for r in segments.where(F.col("bucket").between(lo, hi - 1)).select("bucket", "kind", "hashes").toLocalIterator():
             parts[r.kind][r.bucket - lo] = bytes(r.hashes)
         shared = sc.broadcast({k: Filter(v) for k, v in parts.items()})
-        return both.mapInArrow(judge(shared, lo, hi, n, v, shift, cutoff, whole), f"{facts}, score double" if whole else f"{facts}, counts binary, levels binary"), shared
+        return both.mapInArrow(tb.tidy(judge(shared, lo, hi, n, v, shift, cutoff, whole)), f"{facts}, score double" if whole else f"{facts}, counts binary, levels binary"), shared
 
     if len(spans) == 1:
         scored = judged(*spans[0], True)[0]

@@ -120,7 +120,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int = S
                     ["id", "th", "n", "fp", "sketch"],
                 )
 
-    return identified(docs, id_col, text_col).mapInArrow(run, f"id {kind}, th bigint, n bigint, fp binary, sketch array<int>")
+    return identified(docs, id_col, text_col).mapInArrow(tb.tidy(run), f"id {kind}, th bigint, n bigint, fp binary, sketch array<int>")
 
 
 def inverted_lists(classes: DataFrame, threshold: float, k: int = SKETCH) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +170,7 @@ def whole_lists(texts: DataFrame, threshold: tuple[int, int], width: int) -> Dat
                 values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), values, *map(pa.array, words.T)], ["id", "n", "set", *_BITMAP])
 
-    sets = stored(texts.select("id", "text").mapInArrow(run, f"id bigint, n bigint, set array<bigint>, {', '.join(f'{w} bigint' for w in _BITMAP)}"))
+    sets = stored(texts.select("id", "text").mapInArrow(tb.tidy(run), f"id bigint, n bigint, set array<bigint>, {', '.join(f'{w} bigint' for w in _BITMAP)}"))
     values = sets.select("id", F.explode("set").alias("v"))
     shared = stored(values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     own = values.join(bounded(shared), "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("all"))
@@ -234,7 +234,7 @@ def verified(near: DataFrame, texts: DataFrame, threshold: tuple[int, int], widt
                         good.append(x)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(good, pa.int64())), batch.column("id").take(pa.array(good, pa.int64()))], ["a", "b"])
 
-    return rows.select("a", "s", "pivot", "id", "text").mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.select("a", "s", "pivot", "id", "text").mapInArrow(tb.tidy(run), f"a {kind}, b {kind}")
 
 
 def within(threshold: tuple[int, int]) -> Column:

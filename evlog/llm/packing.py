@@ -262,6 +262,6 @@ def pack_documents(docs: DataFrame, tokenizer: str | Callable[[], str], id_col:
 
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+        .mapInArrow(tb.tidy(run), f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
         .withColumnRenamed("id", id_col)
     )

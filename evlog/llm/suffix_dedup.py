@@ -199,7 +199,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, length: int = LEN
                 doc, at, left, right, h, f = anchors(raw, offs, length, lead)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(doc)), pa.array(at << 20 | left << 10 | right), pa.array(h), pa.array(f)], ["id", "at", "h", "f"])
 
-    found = texts.mapInArrow(find, f"id {kind}, at bigint, h bigint, f bigint")
+    found = texts.mapInArrow(tb.tidy(find), f"id {kind}, at bigint, h bigint, f bigint")
     shared = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))  # kept apart, so that the join can split a hot lead
     open_ = stored(found.join(shared, "h"))
     contexts = open_.groupBy("h", "f").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "at")).alias("x"))
@@ -236,7 +236,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, length: int = LEN
                             out["context"].append(data[base - a : base + b])
             yield pa.RecordBatch.from_arrays([pa.array(v, batch.schema.field("id").type if n == "id" else pa.binary() if n in ("lead", "context") else pa.int64()) for n, v in out.items()], list(out))
 
-    suffixes = stored(marked.mapInArrow(cut_out, f"lead binary, id {kind}, at bigint, c bigint, context binary"))
+    suffixes = stored(marked.mapInArrow(tb.tidy(cut_out), f"lead binary, id {kind}, at bigint, c bigint, context binary"))
     buckets = max(partitions(spark), suffixes.count() // BUCKET)
     crowds = stored(suffixes.where(F.col("lead") >= F.lit(b"1")).groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("lead"))
     crowded = crowds.count()  # one for each HOT suffixes at most
@@ -256,7 +256,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, length: int = LEN
             pos = at[hit] >> 20
             yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks().take(pa.array(hit)), pa.array(pos - greatest[hit]), pa.array(pos - least[hit] + length)], ["id", "a", "b"])
 
-    ranged = usual.repartitionByRange(buckets, "lead").mapInArrow(compare, f"id {kind}, a bigint, b bigint")
+    ranged = usual.repartitionByRange(buckets, "lead").mapInArrow(tb.tidy(compare), f"id {kind}, a bigint, b bigint")
     runs = copies.unionByName(ranged.select("id", F.struct("a", "b").alias("run")))
     if crowded:
         many = suffixes.join(F.broadcast(crowds), "lead", "left_semi")
@@ -308,6 +308,7 @@ def dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH, lead: i
                 at = b
             left = b"".join([*kept, raw[at:]])
             rows.append((len(raw), len(raw) - len(left), [{"a": a, "b": b} for a, b in spans], left, hashlib.sha256(left).hexdigest()))
+        tb.release()
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
 
     found = both.withColumn("own", cut("bytes", "runs"))

@@ -7,19 +7,41 @@ one longer document is a slice of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import ctypes.util
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+_LIBC = ctypes.util.find_library("c")
+_TRIM = getattr(ctypes.CDLL(_LIBC), "malloc_trim", None) if _LIBC else None
 
 U = np.uint64
 _P = U(0x9E3779B97F4A7C15)
 _PINV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def release() -> None:
+    """Give free memory back to the system: idle workers live on, beside the JVM and the next stage's workers."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with the task's memory released at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit words that spreads every input bit."""
     x = x ^ (x >> U(32))
