@@ -27,15 +27,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evlog.llm.textbytes import release
+from evlog.llm import textbytes as tb
 
 SAMPLE_TEXTS = 48
 SAMPLE_BYTES = 4096
 BLOCK = 2048
-#: Characters that are parsed beside each other.
+#: Bytes of text that are parsed beside each other.
 SLICE = 2 << 20
 UNDETERMINED = "und"
 
@@ -258,19 +259,14 @@ def identify(docs: DataFrame, learned: dict[str, list[str]], text_col: str = "te
     """``docs`` with lang_pred, score and rate (phrases per character of the normalised text) added."""
     shared = docs.sparkSession.sparkContext.broadcast(Model(learned))  # some bytes for each character of the sample
 
-    @F.pandas_udf("lang_pred string, score double, rate double")
-    def predict(text):
-        import pandas as pd
-
-        own, values = shared.value, [t if isinstance(t, str) else None for t in text]
-        parts, at, size = [], 0, 0
-        for i, t in enumerate(values):
-            size += len(t or "")
-            if size > SLICE or i == len(values) - 1:
-                parts.append(own.predict(values[at : i + 1]))
-                at, size = i + 1, 0
-        release()
-        return pd.DataFrame({name: [x for p in parts for x in p[k]] for k, name in enumerate(("lang_pred", "score", "rate"))})
+    @F.arrow_udf("lang_pred string, score double, rate double")
+    def predict(text: pa.Array) -> pa.Array:
+        parts = []
+        for i, j, _, _ in tb.slices(text, SLICE):
+            found = shared.value.predict(text.slice(i, j - i).to_pylist())
+            parts.append(pa.StructArray.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.float64())], ["lang_pred", "score", "rate"]))
+        tb.release()
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rate", pa.float64())]))
 
     names = ("lang_pred", "score", "rate")
     keep = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in names], F.lit(None).alias("_")).alias("row"), F.col(text_col).cast("string").alias("text"))

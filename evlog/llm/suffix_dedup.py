@@ -294,22 +294,26 @@ def dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH, lead: i
     joined = docs.join(runs, docs["__row"] == runs["__id"], "left")
     both = joined.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.encode(F.coalesce(docs[text_col].cast("string"), F.lit("")), "UTF-8").alias("bytes"), F.col("__runs").alias("runs"))
 
-    @F.pandas_udf("n_bytes bigint, n_removed bigint, spans array<struct<a:bigint,b:bigint>>, kept binary, kept_sha256 string")
-    def cut(data, marks):
-        import pandas as pd
-
-        rows = []
-        for raw, found in zip(data, marks, strict=True):
-            raw = bytes(raw)
-            spans = merge(list(found), len(raw)) if found is not None else []
-            kept, at = [], 0
-            for a, b in spans:
-                kept.append(raw[at:a])
-                at = b
-            left = b"".join([*kept, raw[at:]])
-            rows.append((len(raw), len(raw) - len(left), [{"a": a, "b": b} for a, b in spans], left, hashlib.sha256(left).hexdigest()))
+    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())]
+
+    @F.arrow_udf("n_bytes bigint, n_removed bigint, spans array<struct<a:bigint,b:bigint>>, kept binary, kept_sha256 string")
+    def cut(data: pa.Array, marks: pa.Array) -> pa.Array:
+        parts = []
+        for i, j, whole, offs in tb.slices(data):
+            rows = []
+            raw = whole.tobytes()
+            for k, found in enumerate(marks.slice(i, j - i).to_pylist()):
+                own = raw[offs[k] : offs[k + 1]]
+                spans = merge(found, len(own)) if found else []
+                kept, at = [], 0
+                for a, b in spans:
+                    kept.append(own[at:a])
+                    at = b
+                left = b"".join([*kept, own[at:]])
+                rows.append((len(own), len(own) - len(left), [{"a": a, "b": b} for a, b in spans], left, hashlib.sha256(left).hexdigest()))
+            parts.append(pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields]))
         tb.release()
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(fields))
 
     found = both.withColumn("own", cut("bytes", "runs"))
     return found.select(*[F.col("row").getField(c).alias(c) for c in columns], "own.*")
