@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,13 +61,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte of a repeated 200-byte string is cut out; a character that a cut splits goes with it."""
 
-    @F.pandas_udf("string")
-    def decoded(data):
-        return data.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+    @F.arrow_udf("string")
+    def decoded(data: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in data.to_pylist()], pa.string())
 
     cut = suffix_dedup.dedup(docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), F.col("text")))
     changed = F.col("n_removed") > 0
-    cut = cut.select("doc", "n_removed", F.when(changed, decoded("kept")).otherwise(F.col("text")).alias("text"))
+    cut = cut.select("doc", "n_removed", F.when(changed, decoded(F.when(changed, F.col("kept")))).otherwise(F.col("text")).alias("text"))
     size = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
     return cut.select(*[F.col("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
