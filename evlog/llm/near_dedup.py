@@ -11,7 +11,8 @@
    threshold share t retained values at least but for a chance of ``MISS``.
    A linked pair thus meets in the list of its first common value.
 3. A list of at most ``SHORT`` members gives all its pairs, so that their number
-   grows with the rows. The members of longer lists are met a second time by
+   grows with the rows; first one partner of each member is verified, then
+   the pairs that are still apart. Before that, members of longer lists meet by
    their whole sets: values are ordered rare first among them, each set enters
    the lists of as many of its rarest values as the threshold makes necessary,
    and two sets that have too few values left from there on, or whose parity
@@ -252,6 +253,15 @@ def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
+def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) that are in different components so far."""
+    if labels is None:
+        return pairs
+    at = labels.select("id", "comp")
+    both = pairs.join(at.withColumnsRenamed({"id": "a", "comp": "x"}), "a", "left").join(at.withColumnsRenamed({"id": "b", "comp": "y"}), "b", "left")
+    return both.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 def merged(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The components of the links and of those known so far."""
     if labels is None:
@@ -269,13 +279,13 @@ def closed(lists: DataFrame, labels: DataFrame | None, classes: DataFrame, texts
         per = marked.groupBy("v").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("v")
         open_ = marked.join(per, "v", "left_semi")
         two = open_.withColumnsRenamed(side("b"))
-        apart = (F.col("ca") != F.col("cb")) & within(threshold)
+        open_pair = (F.col("ca") != F.col("cb")) & within(threshold)
         if tried < PIVOT_ROUNDS:
             first = F.xxhash64("id", F.lit(tried))
             pivot = open_.groupBy("v").agg(F.min(F.struct(first.alias("h"), *[F.col(c).alias(x) for c, x in side("a").items()])).alias("p")).select("v", "p.*")
-            pairs = two.join(pivot, "v").where(apart)
+            pairs = two.join(pivot, "v").where(open_pair)
         else:
-            pairs = open_.withColumnsRenamed(side("a")).join(two, "v").where((F.col("a") < F.col("b")) & apart)
+            pairs = open_.withColumnsRenamed(side("a")).join(two, "v").where((F.col("a") < F.col("b")) & open_pair)
         near = stored(similar(pairs.select("a", "b").distinct(), classes, threshold, k))
         dropped(marked)
         if near.isEmpty():
@@ -306,12 +316,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = stored(own.select("id", "own", "th"))
     texts = identified(docs, id_col, text_col).withColumnRenamed("id", "_own").withColumnRenamed("th", "_th").join(bounded(names), (F.col("own").eqNullSafe(F.col("_own"))) & (F.col("th") == F.col("_th")))
     texts = stored(texts.select("id", "text"))
-    near = stored(similar(pairs, active, threshold, k))
-    labels = None if near.isEmpty() else merged(verified(near, texts, threshold, width), None)
-    if not crowd.isEmpty():
+    labels = None
+    if not crowd.isEmpty():  # first, so that large groups are one component when the short lists' pairs come up
         lists = whole_lists(texts.join(bounded(crowd), "id", "left_semi"), threshold, width)
         labels = closed(lists, labels, active, texts, threshold, width, k)
         dropped(lists)
+    near = stored(similar(apart(pairs, labels), active, threshold, k))
+    if not near.isEmpty():
+        chosen = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))  # one partner for each
+        labels = merged(verified(chosen, texts, threshold, width), labels)
+        rest = stored(apart(near.join(chosen, ["a", "b"], "left_anti"), labels))
+        if not rest.isEmpty():
+            labels = merged(verified(rest, texts, threshold, width), labels)
+        dropped(chosen, rest)
     dropped(pairs, near, crowd, met, active, names, texts)
     known = classes.select("fp", "own", F.col("id").alias("key"))
     if labels is None:
