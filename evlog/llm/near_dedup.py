@@ -11,8 +11,7 @@
    threshold share t retained values at least but for a chance of ``MISS``.
    A linked pair thus meets in the list of its first common value.
 3. A list of at most ``SHORT`` members gives all its pairs, so that their number
-   grows with the rows; first one partner of each member is verified, then
-   the pairs that are still apart. Before that, members of longer lists meet by
+   grows with the rows. Before that, members of longer lists meet by
    their whole sets: values are ordered rare first among them, each set enters
    the lists of as many of its rarest values as the threshold makes necessary,
    and two sets that have too few values left from there on, or whose parity
@@ -20,7 +19,9 @@
    values, are no pair. Both bounds are exact. In these lists one pivot is
    compared with the members that aren't in its component yet, for
    ``PIVOT_ROUNDS`` rounds, so that a group of m near copies costs about m
-   comparisons; then all pairs that are left are compared. No pair is left out:
+   comparisons; then all pairs that are left come up. Of the pairs that come up,
+   one partner of each member is verified first, then two of what is still
+   apart, four and so on. No pair is left out:
    it is compared, already linked, or beyond a bound.
 4. A pair goes through the size bound, the positional bound, the estimate from
    the sketch of its union, and the exact Jaccard test on both full sets.
@@ -46,6 +47,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evlog.llm import textbytes as tb
 from evlog.llm.components import components
@@ -271,6 +273,23 @@ def merged(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     return stored(components(edges.unionByName(labels.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")))))
 
 
+def linked(near: DataFrame, labels: DataFrame | None, texts: DataFrame, threshold: tuple[int, int], width: int) -> DataFrame | None:
+    """Components after every one of the pairs is verified or joined by others.
+
+    One partner of each member is verified first, then two of what is still
+    apart, four and so on: a group of m near copies costs about m comparisons.
+    """
+    left, partners = near, 1
+    while not left.isEmpty():
+        few = left.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("r") <= partners).select("a", "b")
+        chosen = stored(few)
+        labels = merged(verified(chosen, texts, threshold, width), labels)
+        rest = stored(apart(left.join(chosen, ["a", "b"], "left_anti"), labels))
+        dropped(chosen, *([left] if left is not near else []))
+        left, partners = rest, 2 * partners
+    return labels
+
+
 def closed(lists: DataFrame, labels: DataFrame | None, classes: DataFrame, texts: DataFrame, threshold: tuple[int, int], width: int, k: int) -> DataFrame | None:
     """Components after all that meet in these lists are compared: pivots first, then all pairs that are still apart."""
     side = lambda x: {c: f"{x}{c}" for c in _BITMAP} | {"id": x, "n": f"n{x}", "pos": f"p{x}", "comp": f"c{x}"}
@@ -292,8 +311,10 @@ def closed(lists: DataFrame, labels: DataFrame | None, classes: DataFrame, texts
             if tried == PIVOT_ROUNDS:
                 return labels
             continue
+        if tried == PIVOT_ROUNDS:
+            return linked(near, labels, texts, threshold, width)
         # of a pivot round, one partner for each member will do: what stays apart comes up again
-        chosen = near if tried == PIVOT_ROUNDS else stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        chosen = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
         labels = merged(verified(chosen, texts, threshold, width), labels)
     return labels
 
@@ -322,13 +343,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = closed(lists, labels, active, texts, threshold, width, k)
         dropped(lists)
     near = stored(similar(apart(pairs, labels), active, threshold, k))
-    if not near.isEmpty():
-        chosen = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))  # one partner for each
-        labels = merged(verified(chosen, texts, threshold, width), labels)
-        rest = stored(apart(near.join(chosen, ["a", "b"], "left_anti"), labels))
-        if not rest.isEmpty():
-            labels = merged(verified(rest, texts, threshold, width), labels)
-        dropped(chosen, rest)
+    labels = linked(near, labels, texts, threshold, width)
     dropped(pairs, near, crowd, met, active, names, texts)
     known = classes.select("fp", "own", F.col("id").alias("key"))
     if labels is None:
