@@ -1,7 +1,9 @@
 """License scans (3), with DataFrame functions only: an exact set-similarity join of text blocks with templates.
 
-A block is a line. A template is found in a block where at least ``THRESHOLD``
-of the template's distinct words are among the block's. Template words are
+A block is a line with the one after it (the last line is one alone), so that a
+template wrapped over a line break is found. A template is found in a block
+where at least ``THRESHOLD`` of the template's distinct words are among the
+block's. Template words are
 ordered by their frequency over the whole corpus, rare first. With ``need``
 words to be shared of a template's m, one of its first m - need + 1 words must
 be in the block (prefix filter), the block must have ``need`` template words
@@ -49,6 +51,7 @@ TEMPLATES = (
     ("reserved", "copyright all rights reserved"),
 )
 THRESHOLD = 0.8
+BLOCK_LINES = 2
 #: Keys of candidate documents that are sent to all workers at most; beyond it, the join shuffles.
 BROADCAST_KEYS = 1_000_000
 
@@ -112,11 +115,11 @@ def template_matches(rows: DataFrame, seen: DataFrame, templates: Sequence[tuple
     near = seen.where(F.arrays_overlap("has", F.array(*map(F.lit, prefix)))).select("key").distinct()
     if near.count() <= BROADCAST_KEYS:
         near = F.broadcast(near)
-    blocks = rows.join(near, "key", "left_semi").select("key", F.posexplode(F.split(lowered(F.col("text")), "\n")).alias("block", "line"))
-    blocks = blocks.withColumn("line", words(F.col("line")))
     ranks = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))])
-    have = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("line", " "), lambda w: F.element_at(ranks, w)), lambda r: r.isNotNull())))
-    blocks = blocks.withColumn("have", have).where(F.size("have") > 0)
+    known = lambda line: F.filter(F.transform(F.split(words(line), " "), lambda w: F.element_at(ranks, w)), lambda r: r.isNotNull())
+    lines = F.transform(F.split(lowered(F.col("text")), "\n"), lambda line: F.array_distinct(known(line)))
+    two = once(lines, lambda all_: F.transform(all_, lambda _, i: F.array_sort(F.array_distinct(F.flatten(F.slice(all_, i + 1, F.lit(BLOCK_LINES)))))))
+    blocks = rows.join(near, "key", "left_semi").select("key", F.posexplode(two).alias("block", "have")).where(F.size("have") > 0)
     pairs = blocks.select("key", "block", "have", F.posexplode("have").alias("j", "first")).join(F.broadcast(by_word), "first")
     pairs = pairs.where((F.size("have") >= F.col("need")) & (F.size("own") - F.col("i") >= F.col("need")) & (F.size("have") - F.col("j") + F.least("i", "j") >= F.col("need")))
     shared = F.size(F.array_intersect("have", "own"))
@@ -157,9 +160,10 @@ def oracle_sql(phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence
 with d as (select doc_id, {low} as t from documents),
 w as (select doc_id, t, regexp_extract_all(t, {word}) as w from d),
 b as (select doc_id, w, {cases} from w),
-lines as (select doc_id, list_distinct(regexp_extract_all(line, {word})) as have from (select doc_id, unnest(string_split(t, chr(10))) as line from d)),
+cut as (select doc_id, string_split(t, chr(10)) as l from d),
+blocks as (select doc_id, list_distinct(regexp_extract_all(concat_ws(chr(10), x[1], x[2]), {word})) as have from (select doc_id, unnest(list_zip(l, l[2:])) as x from cut)),
 templates(k, label, own) as (values {values}),
-hits as (select doc_id, label, len(list_intersect(have, own)) / len(own) as c from lines, templates where len(list_intersect(have, own)) >= ceil({threshold} * len(own) - 1e-9)),
+hits as (select doc_id, label, len(list_intersect(have, own)) / len(own) as c from blocks, templates where len(list_intersect(have, own)) >= ceil({threshold} * len(own) - 1e-9)),
 found as (select doc_id, list(distinct label) as found, max(c) as best from hits group by doc_id)
 select doc_id, len(w)::bigint as n_words, ({places})::bigint as n_base, (list_min({everywhere}) - 1)::bigint as first_word, (list_max({everywhere}) - 1)::bigint as last_word,
   coalesce(array_to_string(list_sort({base}), ','), '') as base_labels,

@@ -135,8 +135,9 @@ def test_3_license_scan(docs, rows, nothing):
         places = {label: [k for k in range(len(w)) if w[k : k + len(p.split())] == p.split()] for p, label in license_scan.PHRASES}
         every = sorted(k for v in places.values() for k in v)
         found = {}
-        for line in low.split("\n"):
-            have = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
+        lines = low.split("\n")
+        for block in zip(lines, [*lines[1:], ""], strict=True):
+            have = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "\n".join(block)))
             for label, t in license_scan.TEMPLATES:
                 own = set(t.split())
                 if len(have & own) >= math.ceil(license_scan.THRESHOLD * len(own) - 1e-9):
@@ -148,6 +149,14 @@ def test_3_license_scan(docs, rows, nothing):
     assert "mit" in {x for r in got.values() for x in r.labels.split(",")} and license_scan.scan(nothing).collect() == []
 
 
+def test_3_templates_over_a_line_break(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without{}modification, are permitted provided"
+    texts = ["x\n" + bsd.format("\n"), bsd.format("\r\n * ") + "\nx", bsd.format(" "), bsd.format("\n\n"), "y\nReleased under\nthe MIT license\n", "released under\n\n\nthe mit license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.labels, r.score, r.n_blocks) for r in license_scan.scan(df).collect()}
+    assert got == {0: ("bsd", 1.0, 1), 1: ("bsd", 1.0, 1), 2: ("bsd", 1.0, 1), 3: ("", 0.0, 0), 4: ("mit", 1.0, 1), 5: ("", 0.0, 0)}
+
+
 def test_4_lm(docs, rows, nothing):
     held = F.col("doc_id") % 4 == 2
     got = sorted(map(tuple, lm_scoring.score_documents(docs, held).collect()))
