@@ -21,11 +21,13 @@
    ``PIVOT_ROUNDS`` rounds, so that a group of m near copies costs about m
    comparisons; then all pairs that are left come up. Of the pairs that come up,
    one partner of each member is verified first, then two of what is still
-   apart, four and so on. No pair is left out:
-   it is compared, already linked, or beyond a bound.
+   apart, four and so on, and the rest at once when no more is left than was
+   verified. No pair is left out: it is compared, already linked, or beyond a
+   bound.
 4. A pair goes through the size bound, the positional bound, the estimate from
    the sketch of its union, and the exact Jaccard test on both full sets.
-5. Components are found by star contraction; nothing of it is on the driver.
+5. Components are found in one task up to a bound of edges, beyond it by star
+   contraction; nothing of it is on the driver.
 
 Defined cases: null or empty text, or text without words, is an empty set,
 linked with nothing and kept; with fewer words than a shingle has, the whole
@@ -208,14 +210,14 @@ def similar(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int], k:
     return both.withColumn("u", union).where(shared >= bound).select("a", "b")
 
 
-def verified(near: DataFrame, texts: DataFrame, threshold: tuple[int, int], width: int) -> DataFrame:
-    """The pairs (a, b) with den * |intersection| >= num * |union|, by their full sets."""
+def verified(near: DataFrame, count: int, texts: DataFrame, threshold: tuple[int, int], width: int) -> DataFrame:
+    """The pairs (a, b), ``count`` of them, with den * |intersection| >= num * |union|, by their full sets."""
     num, den = threshold
     degrees = near.groupBy("a").agg(F.count(F.lit(1)).alias("d")).withColumn("s", F.ceil(F.col("d") / SALT).cast("int"))
     members = near.join(degrees, "a").select("a", F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("s"), F.lit(False).alias("pivot"), F.col("b").alias("id"))
     pivots = degrees.select("a", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("s"), F.lit(True).alias("pivot"), F.col("a").alias("id"))
     wanted = members.unionByName(pivots)
-    if near.count() * 2 <= BROADCAST_IDS:
+    if count * 2 <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     rows = texts.join(wanted, "id").repartition(partitions(near.sparkSession), "a", "s").sortWithinPartitions("a", "s", F.desc("pivot"))
     kind = rows.schema["a"].dataType.simpleString()
@@ -267,10 +269,8 @@ def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 def merged(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The components of the links and of those known so far."""
     if labels is None:
-        return stored(components(links))
-    at = labels.select("id", "comp")
-    edges = links.join(at.withColumnsRenamed({"id": "a", "comp": "x"}), "a", "left").join(at.withColumnsRenamed({"id": "b", "comp": "y"}), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    return stored(components(edges.unionByName(labels.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")))))
+        return components(links)
+    return components(links.unionByName(labels.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
 
 
 def linked(near: DataFrame, labels: DataFrame | None, texts: DataFrame, threshold: tuple[int, int], width: int) -> DataFrame | None:
@@ -278,15 +278,22 @@ def linked(near: DataFrame, labels: DataFrame | None, texts: DataFrame, threshol
 
     One partner of each member is verified first, then two of what is still
     apart, four and so on: a group of m near copies costs about m comparisons.
+    As soon as no more pairs are left than were verified, all of them are, so
+    that a few pairs don't take rounds of their own.
     """
-    left, partners = near, 1
-    while not left.isEmpty():
-        few = left.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("r") <= partners).select("a", "b")
-        chosen = stored(few)
-        labels = merged(verified(chosen, texts, threshold, width), labels)
-        rest = stored(apart(left.join(chosen, ["a", "b"], "left_anti"), labels))
-        dropped(chosen, *([left] if left is not near else []))
-        left, partners = rest, 2 * partners
+    left, partners, done = near, 1, 0
+    while waiting := left.count():
+        chosen, n = left, waiting
+        if waiting > done:
+            few = left.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("r") <= partners).select("a", "b")
+            chosen = stored(few)
+            n = chosen.count()
+        labels = merged(verified(chosen, n, texts, threshold, width), labels)
+        rest = stored(apart(left.join(chosen, ["a", "b"], "left_anti"), labels)) if n < waiting else None
+        dropped(*([chosen] if chosen is not left else []), *([left] if left is not near else []))
+        if rest is None:
+            break
+        left, partners, done = rest, 2 * partners, done + n
     return labels
 
 
@@ -315,7 +322,7 @@ def closed(lists: DataFrame, labels: DataFrame | None, classes: DataFrame, texts
             return linked(near, labels, texts, threshold, width)
         # of a pivot round, one partner for each member will do: what stays apart comes up again
         chosen = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        labels = merged(verified(chosen, texts, threshold, width), labels)
+        labels = merged(verified(chosen, chosen.count(), texts, threshold, width), labels)
     return labels
 
 
