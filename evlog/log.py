@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -31,6 +32,7 @@ from evlog.operators.upcast import Upcaster, apply_chain, apply_frames
 from evlog.plans import coordinates
 from evlog.schema import CHECKPOINTS_SCHEMA, COLUMNS, I64_MAX, LEDGER_SCHEMA, LOG_SCHEMA, RECEIPTS_SCHEMA, STREAMS_SCHEMA, check_u63
 from evlog.store.manifest import Manifest, Segment, State, retrying
+from evlog.store.reader import Reader
 from evlog.txn import Committed, Transaction
 
 PAGE = 256
@@ -286,42 +288,51 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
     def _rows(self, state: State, from_: int, f: Filter, limit: int | None, from_seq: int = 0, last: bool = False) -> list[dict[str, Any]]:
         """Stored rows in order, the first ``limit`` or the last; small reads stay on the driver.
 
-        A limited read opens segments from its end of the log on until it has enough.
+        A limited read opens segments from its end of the log on until it has enough. One that skips many rows is finished by a Spark job.
         """
         if limit == 0 or f.selects_nothing:
             return []
         f.validate()
         check_u63(from_, "position")
         segments = self._segments(state, from_, f.streams_, f.kinds_)
-        if sum(s.rows for s in segments) > DRIVER_ROWS and (limit is None or not f.whole):
-            df = self.stored(from_, f, state)
-            df = (df.where(F.col("seq") >= from_seq) if from_seq else df).orderBy(F.desc("position") if last else "position")
-            rows = [r.asDict() for r in (df.limit(limit) if limit is not None else df).collect()]
-            return rows[::-1] if last else rows
+        large = sum(s.rows for s in segments) > DRIVER_ROWS
+        if limit is not None and not last:
+            reader = self._reader(state, from_, f, from_seq, DRIVER_ROWS if large and not f.whole else None)
+            rows = list(islice(reader, limit))
+            if len(rows) == limit or reader.whole:
+                return rows
+            return rows + self._collected(state, rows[-1]["position"] if rows else from_, f, limit - len(rows), from_seq, False)
+        if large and (limit is None or not f.whole):
+            return self._collected(state, from_, f, limit, from_seq, last)
         want = ds.field("position") > from_
-        if from_seq:
-            want &= ds.field("seq") >= from_seq
-        if f.kinds_ is not None:
-            want &= ds.field("kind").isin(sorted(f.kinds_))
-        if f.streams_ is not None:
-            want &= ds.field("stream").isin(sorted(f.streams_))
-        if f.prefix_:
-            want &= pc.starts_with(ds.field("stream"), f.prefix_)
+        if (more := _condition(f, from_seq)) is not None:
+            want &= more
         out: list[dict[str, Any]] = []
         for group in _groups(sorted(segments, key=lambda s: -s.max_position) if last else segments, None if limit is None else 4 * limit + 1024):
             found = ds.dataset([self.manifest.check(s) for s in group], format="parquet").to_table(columns=COLUMNS, filter=want).sort_by("position")
             if limit is not None and not f.meta_:
-                need = limit - len(out)
-                found = found.slice(max(0, len(found) - need)) if last else found.slice(0, need)
+                found = found.slice(max(0, len(found) - (limit - len(out))))
             columns = [found.column(c).to_pylist() for c in COLUMNS]
             rows = [dict(zip(COLUMNS, values, strict=True)) for values in zip(*columns, strict=True)]
             if f.meta_:
                 rows = [r for r in rows if f.matches(r["stream"], r["kind"], envelope.from_row(r)["meta"])]
             out = rows + out if last else out + rows
             if limit is not None and len(out) >= limit:
-                return out[-limit:] if last else out[:limit]
+                return out[-limit:]
         return out
 
+    def _collected(self, state: State, from_: int, f: Filter, limit: int | None, from_seq: int, last: bool) -> list[dict[str, Any]]:
+        """The same rows by a Spark job."""
+        df = self.stored(from_, f, state)
+        df = (df.where(F.col("seq") >= from_seq) if from_seq else df).orderBy(F.desc("position") if last else "position")
+        rows = [r.asDict() for r in (df.limit(limit) if limit is not None else df).collect()]
+        return rows[::-1] if last else rows
+
+    def _reader(self, state: State, from_: int, f: Filter, from_seq: int = 0, most: int | None = None) -> Reader:
+        """Stored rows in order, as they are asked for."""
+        test = (lambda r: f.matches(r["stream"], r["kind"], envelope.from_row(r)["meta"])) if f.meta_ else None
+        return Reader(self._segments(state, from_, f.streams_, f.kinds_), self.manifest.check, from_, _condition(f, from_seq), test, most)
+
     def _recorded(self, rows: list[dict[str, Any]]) -> list[Recorded]:
         return [Recorded(r["position"], r["stream"], apply_chain(self.upcasters, e)) for r, e in zip(rows, envelope.from_rows(rows), strict=True)]
 
@@ -356,21 +367,26 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
         return self.manifest.refresh().head
 
     def replay(self, from_: int = 0, f: Filter = Filter(), page: int = PAGE) -> Iterator[Recorded]:
-        """Everything after a position, in pages, ending at the first short one; nothing is held between pages."""
+        """Everything after a position, in pages, ending at the first short one.
+
+        The files are read on from page to page; after a commit they are opened again, in the new state.
+        """
+        pages = _Pages(self, f)
         while True:
-            got = self.read_all(from_, f, page)
-            yield from got
-            if len(got) < page:
+            rows = pages.read(from_, page)
+            yield from self._recorded(rows)
+            if len(rows) < page:
                 return
-            from_ = got[-1].position
+            from_ = rows[-1]["position"]
 
     def subscribe(self, from_: int = 0, f: Filter = Filter(), page: int = PAGE, stop: threading.Event | None = None) -> Iterator[Recorded]:
         """As ``replay``, then waiting for more, until ``stop`` is set."""
+        pages = _Pages(self, f)
         while stop is None or not stop.is_set():
             with self.manifest.wake:
                 n = self.manifest.state.n
             head = self.head_position()  # before the page: what is passed over was there to be read
-            got = self.read_all(from_, f, page)
+            got = self._recorded(pages.read(from_, page))
             yield from got
             if len(got) == page:
                 from_ = got[-1].position
@@ -443,6 +459,36 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
         return self._listing([tuple(r[k] for k in RECEIPTS_SCHEMA.fieldNames()) for r in self.manifest.refresh().exports.values()], RECEIPTS_SCHEMA, after, limit)
 
 
+def _condition(f: Filter, from_seq: int = 0) -> pc.Expression | None:
+    """What a filter asks of stored columns, and a least sequence number; meta is asked of rows."""
+    parts = [ds.field("seq") >= from_seq] if from_seq else []
+    if f.kinds_ is not None:
+        parts.append(ds.field("kind").isin(sorted(f.kinds_)))
+    if f.streams_ is not None:
+        parts.append(ds.field("stream").isin(sorted(f.streams_)))
+    if f.prefix_:
+        parts.append(pc.starts_with(ds.field("stream"), f.prefix_))
+    return reduce(lambda a, b: a & b, parts) if parts else None
+
+
+class _Pages:
+    """Pages of a scan: each in the newest state, read on where the one before ended if nothing was committed in between."""
+
+    def __init__(self, log: EventLog, f: Filter):
+        self.log, self.f, self.at, self.rows = log, f, (-1, -1), iter(())
+
+    def read(self, from_: int, size: int) -> list[dict[str, Any]]:
+        if size == 0 or self.f.selects_nothing:
+            return []
+        state = self.log.manifest.refresh()
+        if self.at != (state.n, from_):
+            self.f.validate()
+            self.rows = iter(self.log._reader(state, check_u63(from_, "position"), self.f))
+        out = list(islice(self.rows, size))
+        self.at = (state.n, out[-1]["position"] if out else from_)
+        return out
+
+
 def _groups(segments: list[Segment], rows: int | None) -> Iterator[list[Segment]]:
     """Runs of segments that have about so many rows, doubling; all at once without a number. A run never parts overlapping ranges."""
     if rows is None:

@@ -15,9 +15,12 @@ import os
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,8 @@ _VIEW = """with log as (select event_id + 1 as position, 'user-' || user_id as s
 _SHOWN = "position, stream, seq, epoch_ms, kind, schema_version, meta"
 _STREAM = "seq, epoch_ms, kind, schema_version, meta"
 _TYPES = {"position": "bigint", "stream": "string", "seq": "bigint", "epoch_ms": "bigint", "kind": "string", "schema_version": "bigint", "meta": "string"}
+#: Rows that the driver holds before they are written.
+KEPT = 65_536
 _LOGS: dict[tuple[str, str], EventLog] = {}
 
 
@@ -103,16 +108,35 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select(*[c.strip() for c in _SHOWN.split(",")])
 
 
-def _rows(spark: SparkSession, found: Iterable[Any], shown: str = _SHOWN) -> DataFrame:
-    """Events that the driver holds (Recorded, ExportedEvent or plain) as rows."""
-    out = []
+def _tuples(found: Iterable[Any], shown: str) -> Iterator[tuple]:
+    """The shown columns of events (Recorded, ExportedEvent or plain)."""
     for r in found:
         e = r if isinstance(r, dict) else r.event
         whole = {"seq": e["seq"], "epoch_ms": e["epoch_ms"], "kind": e["kind"], "schema_version": e["_schema_version"], "meta": json.dumps(e["meta"])}
         if not isinstance(r, dict):
             whole |= {"position": r.position, "stream": r.stream}
-        out.append(tuple(whole[c.strip()] for c in shown.split(",")))
-    return spark.createDataFrame(out, ", ".join(f"{c.strip()} {_TYPES[c.strip()]}" for c in shown.split(",")))
+        yield tuple(whole[c.strip()] for c in shown.split(","))
+
+
+def _schema(shown: str) -> str:
+    return ", ".join(f"{c.strip()} {_TYPES[c.strip()]}" for c in shown.split(","))
+
+
+def _rows(spark: SparkSession, found: Iterable[Any], shown: str = _SHOWN) -> DataFrame:
+    """Events that the driver holds as rows."""
+    return spark.createDataFrame(list(_tuples(found, shown)), _schema(shown))
+
+
+def _kept(spark: SparkSession, found: Iterable[Any], shown: str = _SHOWN) -> DataFrame:
+    """The same for more events than the driver should hold: they go to a file in the shared folder, ``KEPT`` rows at once."""
+    root, rows = new_root(spark), _tuples(found, shown)
+    os.makedirs(root)
+    names = [c.strip() for c in shown.split(",")]
+    types = pa.schema([(c, {"bigint": pa.int64(), "string": pa.string()}[_TYPES[c]]) for c in names])
+    with pq.ParquetWriter(os.path.join(root, "events.parquet"), types) as out:
+        while part := list(islice(rows, KEPT)):
+            out.write_table(pa.table([pa.array(v, t) for v, t in zip(zip(*part, strict=True), types.types, strict=True)], schema=types))
+    return spark.read.schema(_schema(shown)).parquet(root)
 
 
 def _refused(f: Callable[[], Any]) -> str:
@@ -163,7 +187,7 @@ def _(spark, d):
 
 @query("replay_pages", "S8 O4 O5", f"select {_SHOWN} from log where position > 300 and kind = 'click'")
 def _(spark, d):
-    return _rows(spark, source_log(spark, d).replay(300, Filter.of_kinds(["click"]), 64))
+    return _kept(spark, source_log(spark, d).replay(300, Filter.of_kinds(["click"]), 64))
 
 
 @query("subscribe_live", "S9 T1 T2", "select position, stream, kind from log where position > (select max(position) - 5 from log) union all select (select max(position) from log) + i, 'live', 'k' || i from range(1, 3) t(i)")

@@ -146,3 +146,49 @@ def test_reclaim_leaves_files_to_their_readers(log):
         log.stream("s").append(ev("x"))
     held = log.scan()
     assert log.reclaim() == 0 and held.count() == 3 and log.reclaim(grace=0) == 3
+
+
+def _rows_of(log, n, kinds=5):
+    return log.spark.range(n).selectExpr("concat('s', id % 3) as stream", "id as epoch_ms", f"concat('k', id % {kinds}) as kind", "1L as schema_version", "concat('{\"n\":', id, '}') as meta", "'{}' as data", "id")
+
+
+def test_a_replay_reads_on_from_page_to_page(log, monkeypatch):
+    log.append_frame(_rows_of(log, 3000), ["id"])
+    monkeypatch.setattr("evlog.log.DRIVER_ROWS", 100)
+    monkeypatch.setattr(log, "stored", lambda *a, **k: pytest.fail("a job for a page"))
+    opened, check = [], log.manifest.check
+    monkeypatch.setattr(log.manifest, "check", lambda s: opened.append(s.path) or check(s))
+    assert [r.position for r in log.replay(300, Filter.of_kinds(["k1"]), 16)] == list(range(302, 3001, 5))
+    assert len(opened) == len(set(opened))
+    for size in (1, 6, 7, 540, 541):  # of 540 rows
+        assert len(list(log.replay(300, Filter.of_kinds(["k1"]), size))) == 540
+    assert list(log.replay(0, Filter.of_kinds([]))) == list(log.replay(3000)) == []
+
+
+def test_a_replay_sees_commits_between_its_pages(log, monkeypatch):
+    log.stream("a").append_many([ev("x")] * 5)
+    log.append_frame(_rows_of(log, 40, 1), ["id"])
+    log.stream("a").append_many([ev("x")] * 5)
+    got = []
+    for r in log.replay(0, page=10):
+        got.append(r.position)
+        if len(got) == 5:  # small segments of both ends become one that overlaps the others
+            log.reclaim(small_rows=6, grace=0)
+        if len(got) == 20:
+            log.retain(Plan.before(33), Guard.FORCE)
+            log.stream("a").append(ev("late"))
+    assert got == [*range(1, 21), *range(34, 52)]
+    assert [r.position for r in log.read_all(35, Filter().stream("a"), 4)] == [46, 47, 48, 49]
+
+
+def test_a_limited_read_that_skips_many_rows_is_finished_by_a_job(log, monkeypatch):
+    log.append_frame(_rows_of(log, 900), ["id"])
+    whole = {f: [r.position for r in log.read_all(10, f)] for f in (Filter().meta("n", 880), Filter.of_kinds(["k3"]), Filter.of_kinds(["k3"]).stream_prefix("s1"), Filter().stream("s2").meta("n", 500))}
+    monkeypatch.setattr("evlog.log.DRIVER_ROWS", 50)
+    jobs, stored = [], log.stored
+    monkeypatch.setattr(log, "stored", lambda *a, **k: jobs.append(a) or stored(*a, **k))
+    for f, want in whole.items():
+        for n in (1, 5, 40, 1000):
+            assert [r.position for r in log.read_all(10, f, n)] == want[:n]
+    jobs.clear()
+    assert [r.position for r in log.read_all(400, Filter.of_kinds(["k3"]), 5)] == [404, 409, 414, 419, 424] and not jobs
