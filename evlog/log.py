@@ -31,7 +31,7 @@ from evlog.operators.filters import Filter
 from evlog.operators.upcast import Upcaster, apply_chain, apply_frames
 from evlog.plans import coordinates
 from evlog.schema import CHECKPOINTS_SCHEMA, COLUMNS, I64_MAX, LEDGER_SCHEMA, LOG_SCHEMA, RECEIPTS_SCHEMA, STREAMS_SCHEMA, check_u63
-from evlog.store.manifest import Manifest, Segment, State, retrying
+from evlog.store.manifest import ROW_GROUP, Manifest, Segment, State, retrying
 from evlog.store.reader import Reader
 from evlog.txn import Committed, Transaction
 
@@ -223,7 +223,7 @@ class EventLog(hatch.QueryDoor, retention.Retention, transfer.Transfer):
         came = {} if witness is None else {"_same": witness}
         more = {c: v for k in keys for c, v in index_values(F.col("meta"), k).items()}
         out = out.withColumns(more | came).select(*[F.col(c).cast(LOG_SCHEMA[c].dataType) for c in COLUMNS], *more, *came)
-        out.repartitionByRange(parts, "position").sortWithinPartitions("position").write.parquet(m.path(name))
+        out.repartitionByRange(parts, "position").sortWithinPartitions("position").write.option("parquet.block.size", ROW_GROUP).parquet(m.path(name))
         written = self.spark.read.parquet(m.path(name))
         written.groupBy("stream").agg((F.max("seq") + 1).alias("next_seq")).write.parquet(m.path(counted))
         add = m.described(self.spark, name, keys)

@@ -19,10 +19,14 @@ from evlog.errors import ConsumerBehind, NotExported, Truncated, Validation
 from evlog.operators.filters import Filter
 from evlog.functions.json_meta import index_values
 from evlog.schema import LOG_SCHEMA, check_u63
-from evlog.store.manifest import Segment, State
+from evlog.store.manifest import ROW_GROUP, Segment, State
 from evlog.transfer import ExportedEvent, FrameSink, Sink, records
 
 
+#: Stored bytes and rows that a task of a rewrite sorts, about; above the rows from which ``reclaim`` leaves a segment alone.
+SLICE_BYTES, SLICE_ROWS = 128 << 20, 1_500_000
+
+
 @dataclass(frozen=True)
 class Plan:
     """What to remove: everything up to a position, older than a time, or of some streams."""
@@ -167,9 +171,10 @@ class Retention:
         df = self.spark.read.schema(LOG_SCHEMA).parquet(*[self.manifest.check(s) for s in segments])
         if keep is not None:
             df = df.where(keep)
-        df = df.withColumns({c: v for k in keys for c, v in index_values(F.col("meta"), k).items()})
-        parts = max(1, sum(s.size for s in segments) // (128 << 20))
-        df.repartitionByRange(parts, "position").sortWithinPartitions("position").write.parquet(self.manifest.path(name))
+        parts = max(1, sum(s.size for s in segments) // SLICE_BYTES, sum(s.rows for s in segments) // SLICE_ROWS)
+        df = df.repartitionByRange(parts, "position").sortWithinPartitions("position")
+        df = df.withColumns({c: v for k in keys for c, v in index_values(F.col("meta"), k).items()})  # after the shuffle: its sample needs none of them
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(self.manifest.path(name))
         return self.manifest.described(self.spark, name, keys)
 
     def reclaim(self, small_rows: int = 1_000_000, grace: float = 60.0) -> int:

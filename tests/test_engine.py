@@ -192,3 +192,31 @@ def test_a_limited_read_that_skips_many_rows_is_finished_by_a_job(log, monkeypat
             assert [r.position for r in log.read_all(10, f, n)] == want[:n]
     jobs.clear()
     assert [r.position for r in log.read_all(400, Filter.of_kinds(["k3"]), 5)] == [404, 409, 414, 419, 424] and not jobs
+
+
+def test_a_rewrite_is_cut_into_slices_of_rows(log, monkeypatch):
+    log.append_frame(_rows_of(log, 900), ["id"])
+    monkeypatch.setattr("evlog.retention.SLICE_ROWS", 150, raising=False)
+    before = {r.position: r for r in log.scan().collect()}
+    assert log.retain(Plan.streams(["s2"]), Guard.FORCE).removed == 300
+    kept = sorted(log.manifest.state.segments.values(), key=lambda s: s.min_position)
+    assert len(kept) == 6 and max(s.rows for s in kept) <= 150 and all(a.max_position < b.min_position for a, b in zip(kept, kept[1:], strict=False))
+    assert {r.position: r for r in log.scan().collect()} == {p: r for p, r in before.items() if r.stream != "s2"}
+    log.index_meta("n")
+    log.reclaim(small_rows=140, grace=0)
+    after = set(log.manifest.state.segments)
+    assert len(after) == 4 and sum(s.rows for s in log.manifest.state.segments.values()) == 600
+    assert [r.position for r in log.read_all(0, Filter().meta("n", 888))] == [889] == [r.position for r in log.scan(0, Filter().meta("n", 888)).collect()]
+    assert log.reclaim(small_rows=140, grace=0) == 0 and set(log.manifest.state.segments) == after  # slices aren't merged again
+
+
+def test_bulk_numbers_need_no_window_over_a_whole_partition(log, tmp_path):
+    from evlog.plans import coordinates
+
+    path = str(tmp_path / "staged")
+    coordinates.ordered(_rows_of(log, 700), ["id"], 5).write.parquet(path)
+    out = coordinates.assign(log.spark.read.parquet(path), 40, None)
+    windows = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [w for w in windows if "row_number" in w and "windowspecdefinition(_p#" in w and "stream#" not in w.split("windowspecdefinition(")[1].split(" ASC")[0]]
+    rows = out.orderBy("id").collect()
+    assert [r.position for r in rows] == list(range(41, 741)) and [r.seq for r in rows] == [i // 3 + 1 for i in range(700)]
