@@ -35,9 +35,9 @@ def assign(staged: DataFrame, head: int, counters: DataFrame | None) -> DataFram
     sizes = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_base"))  # a row for each partition
     cells = staged.groupBy("stream", "_p").agg(F.count(F.lit(1)).alias("n"))
     cells = cells.select("stream", "_p", (F.sum("n").over(Window.partitionBy("stream").orderBy("_p")) - F.col("n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_i"))
+    rank = F.col("_i").bitwiseAND(F.lit(2**33 - 1)) + 1  # ``_i`` counts the rows of a partition in its low bits: no window, which would deal whole partitions to tasks by hash
     own = F.row_number().over(Window.partitionBy("_p", "stream").orderBy("_i"))
-    out = staged.withColumn("_r", rank).withColumn("_s", own).join(sizes, "_p").join(cells, ["stream", "_p"])
+    out = staged.withColumn("_r", rank).withColumn("_s", own).join(F.broadcast(sizes), "_p").join(cells, ["stream", "_p"])
     first = F.lit(1)
     if counters is not None:
         out = out.join(counters.select("stream", "next_seq"), "stream", "left")
